@@ -82,7 +82,7 @@ class Bpe:
         for s, i in self.vocab.items():
             ends = cut and s.endswith(self.end)
             self.trie.add_word(s[:-cut] + "\0" if ends else s, i)
-            self.width[i] = len(s) - cut if ends else len(s)
+            self.width[i] = len(s) - cut + 1 if ends else len(s)
         self.trie.make_automaton()
         self.symbols = dict(enumerate(byte_symbols()))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -168,7 +168,7 @@ class Bpe:
         """Tokens of each word (already in byte symbols)."""
         flat, owner = self.greedy(words)
         bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-        covered = np.add.reduceat(self.width[flat], bounds[:-1]) == np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        covered = np.add.reduceat(self.width[flat], bounds[:-1]) == np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + bool(self.end)  # the end mark too
         wrong = owner[~self.stable[flat]]
         inside = np.flatnonzero(owner[:-1] == owner[1:])
         clash = owner[inside[~self.compatible(flat[inside], flat[inside + 1])]]
