@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "sharding", "simhash")
+MODULES = ("bpe", "quality", "sharding", "simhash")
 
 
 def _merged(attribute: str) -> dict:
