@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "language", "minhash", "mixing", "quality", "sharding", "simhash", "tokenstore", "warc")
+MODULES = ("audio", "bpe", "language", "minhash", "mixing", "quality", "sharding", "simhash", "tokenstore", "warc")
 
 
 def _merged(attribute: str) -> dict:
