@@ -15,8 +15,11 @@ def _merged(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run, **_merged("QUERIES")}
 
 
 def oracles() -> dict:
     return _merged("ORACLES")
+
