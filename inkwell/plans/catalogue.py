@@ -1,4 +1,6 @@
 """All registered queries of the core library, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from inkwell.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES}
