@@ -24,8 +24,9 @@ BINS = 256
 BITS = 8
 WORDS = 5
 ATTEMPTS = 8
-#: Rows of one range of ids, about.
-RANGE_ROWS = 8192
+#: Rows of one range of ids, about; with more ranges than ``MOST_RANGES`` the ranges grow instead.
+RANGE_ROWS = 1024
+MOST_RANGES = 20_000
 _HIGH = 63 - BINS.bit_length() + 1  # hashes have 63 bits; a bin has this many below its number
 
 
@@ -93,53 +94,76 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(estimate)
 
 
-def with_next(df: DataFrame, key: str, order: list[Column], carried: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Add ``next``, a struct of the ``carried`` columns of the next row by descending ``key``; after the last row comes the first.
+def in_ranges(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``range``: 0 holds the greatest keys, a null key is in the last. Bounds are quantiles of the keys, a few numbers on the driver."""
+    ranges = min(max(1, -(-df.count() // range_rows)), MOST_RANGES)
+    bounds = sorted(set(df.stat.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    if not bounds:
+        return df.withColumn("range", F.lit(0))
+    held = F.array(*[F.lit(float(b)) for b in bounds])
+    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - _below(held, F.col(key).cast("double"), len(bounds)))
+    return df.withColumn("range", place.cast("int"))
+
+
+def _order(key: str, tie: str):
+    return Window.partitionBy("range").orderBy(F.col(key).desc_nulls_last(), F.col(tie))
+
+
+def followers(placed: DataFrame, key: str, tie: str) -> DataFrame:
+    """For each range the row that follows its last one: the first of the next range that has any, after the last range that of the first."""
+    heads = placed.groupBy("range").agg(F.max(key).alias("head"))  # found from keys alone; one row for each range
+    every = Window.orderBy("range")
+    before = F.coalesce(F.lag("range").over(every), F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select("range", "head", before.alias("before"))
+    # MOST_RANGES + 1 rows at most: broadcasting is safe
+    tied = placed.join(F.broadcast(heads), "range").where(F.col(key).eqNullSafe(F.col("head")))
+    first = tied.withColumn("rank", F.row_number().over(_order(key, tie))).where("rank = 1")
+    return first.select(F.col("before").alias("range"), *[F.col(c).alias(f"follows_{c}") for c in placed.columns if c != "range"])
 
-    Rows go to ranges of keys by one shuffle and are ordered there; the first row of each range, found from keys alone, follows
-    the last row of the range before. Bounds of ranges are quantiles of the keys (a few numbers on the driver).
+
+def with_next(df: DataFrame, key: str, tie: str, carried: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``next_<column>`` for the ``carried`` columns: those of the next row by descending ``key`` (then ascending ``tie``); after the last row comes the first.
+
+    Rows go to ranges of keys by one shuffle and are ordered there.
     """
-    rows = df.count()
-    ranges = max(1, -(-rows // range_rows))
-    bounds = sorted(set(df.stat.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    # the range of a key: how many bounds are at or above it; a null key goes last
-    place = F.lit(0)
-    if bounds:
-        held = F.array(*[F.lit(float(b)) for b in bounds])
-        place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - _below(held, F.col(key).cast("double"), len(bounds)))
-    placed = df.withColumn("range", place.cast("int"))
-    w = Window.partitionBy("range").orderBy(F.col(key).desc_nulls_last(), *order)
-    heads = placed.groupBy("range").agg(F.max(key).alias(key))
-    heads = heads.withColumn("before", F.coalesce(F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    # rows that share a range's first key (repeated ids) are told apart by the same order
-    first = placed.join(F.broadcast(heads) if ranges <= 4096 else heads, ["range"]).where(placed[key].eqNullSafe(heads[key]))
-    struct = lambda cols: F.struct(*[F.col(c) for c in cols])
-    first = first.select("before", placed[key].alias("k"), *[placed[c].alias(c) for c in df.columns if c != key])
-    rank = F.row_number().over(Window.partitionBy("before").orderBy(F.col("k").desc_nulls_last(), *order))
-    first = first.withColumn("rank", rank).where("rank = 1").select(F.col("before").alias("range"), F.struct(*[F.col("k" if c == key else c).alias(c) for c in carried]).alias("follows"))
-    led = placed.withColumn("led", F.lead(struct(carried)).over(w))
-    return led.join(first, "range", "left").withColumn("next", F.coalesce("led", "follows")).drop("led", "follows", "range")
+    placed = in_ranges(df, key, range_rows)
+    w = _order(key, tie)
+    led = placed.select("*", F.lead("range").over(w).alias("inside"), *[F.lead(c).over(w).alias(f"led_{c}") for c in carried])
+    ends = followers(placed.select("range", key, *{tie, *carried} - {key}), key, tie).select("range", *[f"follows_{c}" for c in carried])
+    joined = led.join(ends, "range", "left")
+    chosen = [F.when(F.col("inside").isNotNull(), F.col(f"led_{c}")).otherwise(F.col(f"follows_{c}")).alias(f"next_{c}") for c in carried]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *chosen)
 
 
 def _below(bounds: Column, value: Column, n: int) -> Column:
     """How many of the ascending bounds are less than the value, by halving."""
+    def further(step: int):
+        # a lambda of one argument: a second one would get the element's index
+        return lambda x: F.when(F.coalesce(F.get(bounds, x + step - 1) < value, F.lit(False)), x + step).otherwise(x)
+
     at = F.lit(0)
-    step = 1 << max(n.bit_length() - 1, 0)
-    while step:
-        at = let(at, lambda x, s=step: F.when(F.coalesce(F.get(bounds, x + s - 1) < value, F.lit(False)), x + s).otherwise(x))
-        step >>= 1
+    for k in reversed(range(n.bit_length())):
+        at = let(at, further(1 << k))
     return at
 
 
 def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fp", fingerprint(F.col("text")))
-    paired = with_next(docs, "doc_id", [F.col("text")], ["text", "fp"])
+    placed = in_ranges(docs.withColumn("tie", F.xxhash64("text")), "doc_id")
+    w = _order("doc_id", "tie")
+    # a fixed number of partitions: what follows works hard on few bytes, and would be joined into few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    led = placed.repartition(tasks, "range").withColumn("led", F.lead("text").over(w))
+    # fingerprints of the few rows that open a range; all others come from the window below
+    ends = followers(placed, "doc_id", "tie").select("range", F.col("follows_text").alias("end"), fingerprint(F.col("follows_text")).alias("end_fp"))
+    rows = led.join(ends, "range", "left")  # both are dealt by range
     n = F.char_length("text")
     k = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next.text"), F.lit(1), k))
-    made = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next.fp").alias("next_fp"))
-    made = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("edited_fp"), "next_fp")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.coalesce("led", "end"), F.lit(1), k))
+    made = rows.select("range", "doc_id", "tie", n.cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("fp"), "end_fp")
+    made = made.select("range", "doc_id", "tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("edited_fp"), "end_fp")
+    # the same ranges in the same order: no shuffle and no sort
+    made = made.withColumn("next_fp", F.coalesce(F.lead("fp").over(w), F.col("end_fp")))
     return made.select(
         "doc_id",
         "n_chars",

@@ -90,10 +90,10 @@ def test_next_row_and_edit(spark, docs, tmp_path, range_rows):
     rng = random.Random(8)
     ids = rng.sample(range(1000), 40)
     rows = [(i, "".join(rng.choices("aé中😀 \n", k=rng.randrange(30)))) for i in ids] + [(2000, None), (-5, "last one")]
-    out = mh.with_next(docs(rows).select("doc_id", "text"), "doc_id", [F.col("text")], ["doc_id", "text"], range_rows).collect()
+    out = mh.with_next(docs(rows).select("doc_id", "text"), "doc_id", "text", ["doc_id", "text"], range_rows).collect()
     ordered = sorted(rows, key=lambda r: -r[0])
     follows = {a[0]: b for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
-    assert {r["doc_id"]: tuple(r["next"]) for r in out} == follows and len(out) == len(rows)
+    assert {r["doc_id"]: (r["next_doc_id"], r["next_text"]) for r in out} == follows and len(out) == len(rows)
     docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     for r in mh.op4_one_permutation_minhash(spark, str(tmp_path)).collect():
         text, after = dict(rows)[r["doc_id"]] or "", follows[r["doc_id"]][1] or ""
@@ -108,3 +108,11 @@ def test_empty_and_odd_tables(spark, docs, tmp_path):
         out = mh.op4_one_permutation_minhash(spark, f"{tmp_path}/{n}").collect()
         assert len(out) == len(rows)
         assert all(r["near_edited"] is not None and 0 <= r["near_next"] <= 1 for r in out)
+
+
+def test_ranges_share_the_rows(spark, docs):
+    rows = docs([(i * 7 - 900, "x") for i in range(3000)] + [(None, "y")])
+    sizes = [r[1] for r in mh.in_ranges(rows, "doc_id", 100).groupBy("range").count().orderBy("range").collect()]
+    assert len(sizes) == 32 and max(sizes) < 200 and sizes[-1] == 1
+    got = mh.in_ranges(rows, "doc_id", 100).groupBy("range").agg(F.max("doc_id").alias("a"), F.min("doc_id").alias("b")).orderBy("range").collect()
+    assert all(x["b"] > y["a"] for x, y in zip(got, got[1:-1], strict=False))
