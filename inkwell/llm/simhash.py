@@ -195,7 +195,9 @@ def links(nodes: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
     if distance > 2:
         raise ValueError("the way around large blocks is exact up to two bits")
     chosen = plan(nodes, distance)
-    probes = [F.transform(_flips(_value(bits), bits, t), lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, (bits, t) in enumerate(chosen)]
+    # a lambda of one argument: a second one would get the element's index
+    named = lambda k: lambda v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    probes = [F.transform(_flips(_value(bits), bits, t), named(k)) for k, (bits, t) in enumerate(chosen)]
     if not probes:
         return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     rows = nodes.select("fp", F.explode(F.concat(*probes)).alias("x")).select("fp", "x.k", "x.v")
