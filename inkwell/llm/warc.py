@@ -15,8 +15,8 @@ table gives an empty audit.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import math
 import re
 
 import pyarrow as pa
@@ -47,16 +47,22 @@ def response_record(identity: Column, url: Column, payload: Column) -> Column:
     return F.concat(head, body)
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", file_bytes: int = FILE_BYTES, files: int | None = None) -> int:
-    """Write pages as WARC files ``file=N/part-*.txt`` of about ``file_bytes`` (or as many as ``files``) and return their number; the file of a page follows from its key and URL, its place from the key."""
-    if files is None:
-        size = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(payload), F.lit(""))) + 512)).first()[0] or 0
-        files = max(1, math.ceil(size / file_bytes))
-    place = F.pmod(F.xxhash64(F.col(key), F.col(url), F.when(F.col(key).isNull(), F.monotonically_increasing_id())), F.lit(files)).cast("int")
-    rows = pages.select(place.alias("file"), F.col(key).alias("k"), response_record(F.col(key), F.col(url), F.col(payload)).alias("value"))
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", file_bytes: int = FILE_BYTES, rows: int | None = None) -> int:
+    """Write pages as compressed WARC files ``file=N/part-*.txt.gz`` and return how many records a file holds at most.
+
+    A file holds consecutive records of one input partition, of about ``file_bytes`` in all (or ``rows`` of them), so nothing is shuffled
+    and files of the same input and row count are laid out alike.
+    """
+    if rows is None:
+        n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.coalesce(F.col(payload), F.lit(""))) + 512)).first()
+        rows = max(1, int(file_bytes / max((size or 0) / max(n, 1), 1.0)))
+    at = F.monotonically_increasing_id()
+    # the row's number within its partition is in the low 33 bits, the partition's above
+    placed = pages.select(at.alias("at"), response_record(F.col(key), F.col(url), F.col(payload)).alias("value"))
+    file = F.shiftright("at", 33) * F.lit(1 << 24) + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / rows)
     # every record ends with two line ends, so they are the writer's separator
-    rows.repartitionById(files, F.col("file")).sortWithinPartitions("file", "k", F.xxhash64("value")).select("file", "value").write.partitionBy("file").option("lineSep", END).text(path)
-    return files
+    placed.select(file.cast("long").alias("file"), "value").write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path)
+    return rows
 
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -81,25 +87,25 @@ def records(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-LEAF = "file int, place long, start long, end long, hash string, record_id string, uri string"
+LEAF = "file long, place long, start long, end long, hash string, record_id string, uri string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the files under ``path``: file, place (its number), offset range, SHA-256, id and URI."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    named = files.select(F.regexp_extract("path", r"file=(-?\d+)", 1).cast("int").alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
+    named = files.select(F.regexp_extract("path", r"file=(-?\d+)", 1).cast("long").alias("file"), "content")
 
     def run(batches):
         for batch in batches:
             for file, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, rows = body.as_py(), []
+                data, rows = gzip.decompress(body.as_py()), []
                 for place, (start, size) in enumerate(records(data)):
                     head = data.find(b"\r\n\r\n", start, start + size)
                     fields = {k.lower(): v.decode(errors="replace") for k, v in _FIELD.findall(data, start, head if head >= 0 else start + size)}
                     digest = hashlib.sha256(memoryview(data)[start : start + size]).hexdigest()
                     rows.append((file, place, start, start + size, digest, fields.get(b"record-id"), fields.get(b"target-uri")))
                 if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in LEAF.split(", ")])
 
     return named.mapInArrow(run, LEAF)
@@ -126,7 +132,7 @@ def tree(leaves: DataFrame, label: str = "merkle") -> list[DataFrame]:
 
 def root(levels: list[DataFrame]) -> str:
     """One hash over all files' roots: up from file numbers as places until one is left."""
-    top = levels[-1].select(F.lit(0).alias("file"), F.col("file").cast("long").alias("place"), "start", "end", "hash")
+    top = levels[-1].select(F.lit(0).cast("long").alias("file"), F.col("file").alias("place"), "start", "end", "hash")
     height = len(levels)
     while True:
         most = top.agg(F.max("place")).first()[0]
@@ -168,13 +174,13 @@ def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record in the first replica, with what the audit says of it in the second."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     paths = scratch_path(spark, "warc-a"), scratch_path(spark, "warc-b")
-    files = write(pages, paths[0])
-    write(pages.withColumn("html", planted_damage(F.col("page_id"), F.col("html"))), paths[1], files=files)
+    rows = write(pages, paths[0])
+    write(pages.withColumn("html", planted_damage(F.col("page_id"), F.col("html"))), paths[1], rows=rows)
     leaves = [materialise(read(spark, p), "warc-records") for p in paths]
     found = audit(*[tree(x) for x in leaves]).select("file", "place", "b_hash", "status")
     page = F.regexp_extract("record_id", r"<urn:x-record:(-?\d*)>", 1)
-    rows = leaves[0].join(found, ["file", "place"], "left")
-    return rows.select(
+    joined = leaves[0].join(found, ["file", "place"], "left")
+    return joined.select(
         F.when(page != "", page.cast("long")).alias("page_id"),
         "file",
         "place",
