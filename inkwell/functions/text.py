@@ -18,7 +18,7 @@ SIGNS = r"""[!"#$%&()*+\-/:;<=>?@\[\\\]^_`{|}~]"""
 
 def fold_typography(text: Column) -> Column:
     """Curly quotes, dashes and no-break spaces as their plain forms, one character for one."""
-    return F.translate(text, "’ʼ‘“”–— ", "'''\"\"-- ")
+    return F.translate(text, "\u2019\u02bc\u2018\u201c\u201d\u2013\u2014\u00a0", "'''\"\"-- ")
 
 
 def raw_tokens(line: Column) -> Column:

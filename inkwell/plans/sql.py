@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LEXICAL = "^[A-Za-z''-]*[A-Za-z][A-Za-z''-]*$"
 _SIGNS = r"""[^!"#$%&()*+\-/:;<=>?@\[\\\]^_`{|}~]"""
-_FOLD = ("’ʼ‘“”–— ".replace("'", "''"), "'''\"\"-- ".replace("'", "''"))
+_FOLD = ("\u2019\u02bc\u2018\u201c\u201d\u2013\u2014\u00a0", "'''\"\"-- ".replace("'", "''"))
 _IRI = r"""(?:[A-Za-z][A-Za-z0-9+.\-]*://[^\s<>"]+|www\.[^\s<>"]+|(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:com|org|net|edu|gov|io|dev|app|info|co|ai|me|uk|de|fr|es)\b(?:[/:?#][^\s<>"]*)?)"""
 
 
