@@ -36,7 +36,7 @@ NEVER = np.int64(1) << 40
 NO_RULE = 1 << 40
 CACHE_CHUNKS = 300_000
 #: White space of the tokenizers' pattern language (Unicode White_Space).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{SPACE}]+")
 #: ``str.split`` also cuts at these, which the pattern language counts as ordinary characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")

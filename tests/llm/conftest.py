@@ -1,24 +1,4 @@
-import tempfile
-
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[4]")
-        .appName("inkwell-tests")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="inkwell-tests-"))
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
