@@ -190,7 +190,14 @@ def rare(spark, sf_dir):
     return words_of(spark, sf_dir).select("word").distinct().join(dictionary(spark, sf_dir).select("word"), "word", "left_anti")
 
 
-@query("suggest_candidates_d1", f"WITH {WORDS}, {DICT}, {_RARE} SELECT r.word, d.word AS other, damerau_levenshtein(r.word, d.word)::INT AS distance FROM rare r JOIN dict d ON abs(length(r.word) - length(d.word)) <= 1 AND damerau_levenshtein(r.word, d.word) <= 1")
+_ONE_LESS = "unnest(list_distinct(list_concat([word], list_transform(range(1, length(word)::BIGINT + 1), lambda i: left(word, i - 1) || substr(word, i + 1)))))"
+
+
+@query(
+    "suggest_candidates_d1",
+    f"""WITH {WORDS}, {DICT}, {_RARE}, a AS (SELECT word, {_ONE_LESS} AS k FROM rare), b AS (SELECT word AS other, {_ONE_LESS} AS k FROM dict), p AS (SELECT DISTINCT word, other FROM a JOIN b USING (k))
+SELECT word, other, damerau_levenshtein(word, other)::INT AS distance FROM p WHERE damerau_levenshtein(word, other) <= 1""",
+)
 def suggest_candidates_d1(spark, sf_dir):
     return suggest.within(rare(spark, sf_dir), dictionary(spark, sf_dir), 1)
 
@@ -225,11 +232,11 @@ _NEAR = "near AS MATERIALIZED (SELECT doc_id, line, pos - 1 AS pos, ws[pos] AS w
 @query(
     "join_compounds",
     f"""WITH {WORDS}, {DICT}, {_NEAR}, common AS (SELECT word FROM dict WHERE level <= 50) SELECT doc_id, line, pos, n.word, CASE WHEN l.word IS NOT NULL THEN l.word ELSE r.word END AS joined FROM near n
-LEFT JOIN common l ON l.word = n.prev || n.word LEFT JOIN common r ON r.word = n.word || n.next WHERE (l.word IS NOT NULL OR r.word IS NOT NULL) AND n.word NOT IN (SELECT word FROM dict)""",
+LEFT JOIN common l ON l.word = n.prev || n.word LEFT JOIN common r ON r.word = n.word || n.next WHERE (l.word IS NOT NULL OR r.word IS NOT NULL) AND n.word NOT IN (SELECT word FROM dict WHERE level <= 35)""",
 )
 def join_compounds(spark, sf_dir):
     words = dictionary(spark, sf_dir)
-    strange = neighbours(spark, sf_dir).join(words.select("word"), "word", "left_anti")
+    strange = neighbours(spark, sf_dir).join(words.where("level <= 35").select("word"), "word", "left_anti")
     return known.joined(strange, words).where("joined is not null").select("doc_id", "line", "pos", "word", "joined")
 
 

@@ -116,11 +116,10 @@ def bigram_counts(spark, sf_dir):
 
 
 def _g2(by: str, tail: str) -> str:
-    on = "AND a.by_ = b.by_" if by != "''" else ""
-    return f"""WITH {RUNS}, {_BIGRAMS}, c AS (SELECT {by} AS by_, gram, sum(k) AS k, regexp_extract(gram, '^(.*) [^ ]+$', 1) AS head, regexp_extract(gram, '([^ ]+)$', 1) AS tail FROM bigrams GROUP BY 1, 2),
-h AS (SELECT by_, head, sum(k) AS h FROM c GROUP BY 1, 2), t AS (SELECT by_, tail, sum(k) AS t FROM c GROUP BY 1, 2), n AS (SELECT by_, sum(k) AS n FROM c GROUP BY 1),
-s AS (SELECT c.by_, gram, k, h - k AS k12, t - k AS k21, greatest(n - h - t + k, 0.0) AS k22 FROM c JOIN h USING (by_, head) JOIN t USING (by_, tail) JOIN n USING (by_) WHERE k >= 2),
-g AS (SELECT by_, gram, k::BIGINT AS count, {sql.rounded(sql.log_likelihood("k", "k12", "k21", "k22"), 2)} AS log_likelihood FROM s) {tail}"""
+    return f"""WITH {RUNS}, {_BIGRAMS}, c AS MATERIALIZED (SELECT {by} AS by_, gram, sum(k) AS k, regexp_extract(gram, '^(.*) [^ ]+$', 1) AS head, regexp_extract(gram, '([^ ]+)$', 1) AS tail FROM bigrams GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT by_, gram, k, sum(k) OVER (PARTITION BY by_, head) AS h, sum(k) OVER (PARTITION BY by_, tail) AS t, sum(k) OVER (PARTITION BY by_) AS n FROM c),
+s AS MATERIALIZED (SELECT by_, gram, k, h - k AS k12, t - k AS k21, greatest(n - h - t + k, 0.0) AS k22 FROM w WHERE k >= 2),
+g AS (SELECT by_, gram, k::BIGINT AS count, {sql.rounded("x", 2)} AS log_likelihood FROM (SELECT *, {sql.log_likelihood("k", "k12", "k21", "k22")} AS x FROM s)) {tail}"""
 
 
 @query("phrases_g2", _g2("''", "SELECT gram, count, log_likelihood FROM g ORDER BY log_likelihood DESC, count DESC, gram LIMIT 25"))
