@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import complexity, ingest, learn, maintain, phrases, seed, tokens, vocabulary
+from inkwell.operators import complexity, hooks, ingest, learn, maintain, phrases, seed, tokens, vocabulary
 from inkwell.sources import readers, writers
 from inkwell.sources.scratch import root
 from inkwell.streaming import pipeline
@@ -162,3 +162,27 @@ def test_lines_and_scratch(spark):
     rows = spark.createDataFrame([(1, "a\r\nb\n"), (2, ""), (3, None), (4, "\n")], "id int, text string")
     assert [(r["id"], r["line"], r["raw"]) for r in tokens.lines(rows).orderBy("id", "line").collect()] == [(1, 1, "a"), (1, 2, "b"), (4, 1, "")]
     assert root(spark) == root(spark)
+
+
+def test_hooks(spark):
+    schema = "hook_event_name string, session_id string, prompt string, tool_name string, tool_input string, tool_response string"
+    rows = [
+        ("UserPromptSubmit", "s1", "<system-reminder>x</system-reminder>fix it", None, None, None),
+        ("user-prompt-submit", "s1", "/help", None, None, None),
+        ("PostToolUse", "s2", None, "mcp__gmail__send_message", '{"body":"dear all"}', None),
+        ("post-tool-use", "s2", None, "slack_send_message", '{"text":"hi team"}', "From: bob\nText: yo"),
+        ("PostToolUse", "s2", None, "bash", "bad json", "[]"),
+        ("Stop", "s2", None, None, None, None),
+        (None, None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    assert sorted(tuple(r) for r in hooks.staged(frame).collect()) == [("email", "s2", "dear all"), ("prompt", "s1", "fix it"), ("slack", "s2", "hi team")]
+    assert sorted(r["kind"] for r in hooks.responses(frame).collect()) == ["github", "slack"]
+    messages = spark.createDataFrame([("k1", "U1", "Ada L", "slack", "a"), ("k1", "U1", "Ada L", "slack", "a"), ("k2", "u2", "Bob", "slack", "b"), ("k3", "u1", "Ada L", "slack", "c")], "source_key string, author string, display string, register string, body string")
+    mine = spark.createDataFrame([("u1", False), ("u2", True)], "handle string, denied boolean")
+    done = spark.createDataFrame([("k3",)], "source_key string")
+    assert [r["source_key"] for r in hooks.own_messages(messages, mine, done).collect()] == ["k1"]
+    assert hooks.own_messages(messages, mine.where("false"), done).count() == 0
+    assert {(r["name"], r["display"], r["count"]) for r in hooks.people(messages).collect()} == {("ada l", "Ada L", 3), ("bob", "Bob", 1)}
+    times = spark.createDataFrame([(None, "2026-02-01"), ("2026-01-01", "2026-01-15"), ("2026-01-01", "2026-02-15")], "a string, b string")
+    assert [r[0] for r in times.select(hooks.seed_due(F.to_timestamp("a"), F.to_timestamp("b"))).collect()] == [True, False, True]
