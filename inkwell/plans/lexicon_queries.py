@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import dims
 from inkwell.functions.lets import round_half_away
-from inkwell.operators import evaluate, findings, known, maintain, phrases, realword, seed, suggest, tokens, vocabulary
+from inkwell.operators import evaluate, findings, hooks, ingest, known, maintain, phrases, realword, seed, suggest, tokens, vocabulary
 from inkwell.plans import sql
 from inkwell.plans.text_queries import RUNS, WORDS, documents, read
 
@@ -385,3 +385,38 @@ def eval_score(spark, sf_dir):
 @query("eval_by_kind", None)
 def eval_by_kind(spark, sf_dir):
     return evaluate.score_by_kind(*evaluated(spark, sf_dir), key="item_id")
+
+
+_SPEAKERS = "upper(left(role, 1)) || substr(role, 2) || ' ' || (conv_id % 7)"
+
+
+@query("people_table", f"SELECT lower({_SPEAKERS}) AS name, min({_SPEAKERS}) AS display, count(*) AS count, count(DISTINCT turn % 5) AS days FROM conversations GROUP BY 1")
+def people_table(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(
+        F.concat_ws(" ", F.initcap("role"), (F.col("conv_id") % 7).cast("string")).alias("display"), F.concat_ws("#", "conv_id", "turn").alias("source_key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn") % 5).cast("int")).alias("day")
+    )
+    return hooks.people(rows, F.col("day").cast("timestamp"))
+
+
+@query("ingest_records", "SELECT CASE WHEN role = 'assistant' THEN 'other' ELSE 'user' END AS authored_by, register, count(*) AS n, sum(length(body))::BIGINT AS chars FROM (SELECT role, text AS body, CASE WHEN conv_id % 2 = 0 THEN 'email' ELSE 'note' END AS register FROM conversations WHERE trim(text) <> '') GROUP BY 1, 2")
+def ingest_records(spark, sf_dir):
+    """Conversations as JSON: an array for each even conversation, lines of objects for each odd one."""
+    register = F.when(F.col("conv_id") % 2 == 0, "email").otherwise("unheard-of")
+    record = F.to_json(F.struct(F.col("text").alias("body"), F.col("role").alias("author"), register.alias("register")))
+    texts = read(spark, sf_dir, "conversations").select("conv_id", record.alias("r")).groupBy("conv_id").agg(F.collect_list("r").alias("rs"))
+    values = texts.select(F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("["), F.array_join("rs", ","), F.lit("]"))).otherwise(F.array_join("rs", "\n")).alias("value"))
+    rows = ingest.attributed(ingest.records(values), ["user", "system"], register="note")
+    return rows.groupBy("authored_by", "register").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+@query(
+    "name_matches",
+    """WITH p AS (SELECT lower(n_name) AS name FROM nation), c AS (SELECT DISTINCT left(name, length(name) - 1) AS candidate FROM p UNION SELECT DISTINCT substr(name, 2) FROM p)
+SELECT candidate, min(name) AS name, count(*) AS matches FROM c JOIN p ON damerau_levenshtein(candidate, name) <= 1 WHERE length(candidate) >= 4 AND candidate NOT IN (SELECT name FROM p) GROUP BY candidate HAVING count(*) = 1""",
+)
+def name_matches(spark, sf_dir):
+    names = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("word"))
+    short = names.select(F.expr("left(word, length(word) - 1)").alias("word")).union(names.select(F.expr("substring(word, 2)")))
+    asked = short.where(F.length("word") >= dims.MIN_NAME_LENGTH).distinct().join(names, "word", "left_anti")
+    near = suggest.within(asked, names, 1).groupBy("word").agg(F.min("other").alias("name"), F.count(F.lit(1)).alias("matches"))
+    return near.where("matches = 1").select(F.col("word").alias("candidate"), "name", "matches")
