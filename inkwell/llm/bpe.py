@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -90,9 +91,9 @@ class Bpe:
         self.rank_of = {p: k for p, (k, _) in self.rules.items()}
         self.made = {k: m for k, m in self.rules.values()}
         self._tables(size)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers: a third of what tuples take
         # a chunk holds no white space, so these keys are free
-        self.specials = {" " + s: (i,) for s, i in added.items()}
+        self.specials = {" " + s: np.int32(i).tobytes() for s, i in added.items()}
         self._reset()
 
     def _tables(self, size: int) -> None:
@@ -164,18 +165,18 @@ class Bpe:
                 found[i] = rank((ids[i], ids[i + 1]), NO_RULE)
         return ids
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Tokens of each word (already in byte symbols)."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Tokens of each word (already in byte symbols), as 32-bit integers."""
         flat, owner = self.greedy(words)
         bounds = np.searchsorted(owner, np.arange(len(words) + 1))
         covered = np.add.reduceat(self.width[flat], bounds[:-1]) == np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + bool(self.end)  # the end mark too
         wrong = owner[~self.stable[flat]]
         inside = np.flatnonzero(owner[:-1] == owner[1:])
         clash = owner[inside[~self.compatible(flat[inside], flat[inside + 1])]]
-        ids, cuts = flat.tolist(), bounds.tolist()
-        out = [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        ids, cuts = flat.astype(np.int32).tobytes(), (4 * bounds).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i in np.unique(np.concatenate([wrong, clash, np.flatnonzero(~covered)])).tolist():
-            out[i] = tuple(self.merged(words[i]))
+            out[i] = array("i", self.merged(words[i])).tobytes()
         return out
 
     def _reset(self) -> None:
@@ -195,7 +196,7 @@ class Bpe:
         for c in single:
             self.cache[c] = ids[c]
         for c, found in mixed.items():
-            self.cache[c] = ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, found)))
+            self.cache[c] = ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found))
 
     def chunks(self, text: str) -> list[str]:
         if self.added is not None and self.added.search(text):
@@ -209,7 +210,8 @@ class Bpe:
             text = text.replace("Σ", "σ").lower()  # character by character: no final sigma
         return [c for c in _SPLIT.split(text) if c] if _SEPARATORS.search(text) else text.split()
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of each text."""
         out = []
         for at in range(0, len(texts), 200):
             cut = [self.chunks(t) if t else [] for t in texts[at : at + 200]]
@@ -218,7 +220,7 @@ class Bpe:
             if new := set().union(*cut).difference(self.cache):
                 self._learn(new)
             get = self.cache.__getitem__
-            out += [list(chain.from_iterable(map(get, c))) for c in cut]
+            out += [np.frombuffer(b"".join(map(get, c)), dtype=np.int32) for c in cut]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -257,7 +259,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str
     def ids(texts):
         import pandas as pd
 
-        return pd.Series([np.array(x, dtype=np.int32) for x in load(path).encode(texts.tolist())], dtype=object)
+        return pd.Series(load(path).encode(texts.tolist()), dtype=object)
 
     return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -288,7 +290,8 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             texts = batch.column(1)
             counts, ids_sha, text_sha = [], [], []
             for at in range(0, batch.num_rows, 200):
-                for ids in bpe.encode(texts.slice(at, 200).to_pylist()):
+                for packed in bpe.encode(texts.slice(at, 200).to_pylist()):
+                    ids = packed.tolist()
                     counts.append(len(ids))
                     ids_sha.append(sha(" ".join([number[i] for i in ids]).encode()).hexdigest())
                     text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())

@@ -109,18 +109,17 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
         raise ValueError(f"columns {sorted(taken)} exist already")
     known = [*model.languages, UND]
     none = F.lit(None).cast("string")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("t"), *[(x if x is not None else none).alias(n) for x, n in ((declared, "declared"), (suffix, "suffix"), (host, "host"))])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[(x if x is not None else none).alias(n) for x, n in ((declared, "declared"), (suffix, "suffix"), (host, "host"))])
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(texts):
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+
+    @F.pandas_udf("string")
+    def voice(texts):
         import pandas as pd
 
-        return pd.Series([model.likelihoods(t) for t in texts], dtype=object)
+        return pd.Series([UND if np.ptp(ll) == 0 else known[int(ll.argmax())] for ll in map(model.likelihoods, texts)], dtype=object)
 
-    rows = rows.withColumn("ll", likelihoods(F.coalesce("t", F.lit("")))).drop("t")
-    best = F.element_at(F.array(*[F.lit(x) for x in known]), F.array_position("ll", F.array_max("ll")).cast("int"))
-    voice = F.when(F.array_min("ll") == F.array_max("ll"), UND).otherwise(best)  # no trigrams
-    counts = rows.select("declared", "suffix", "host", voice.alias("best")).groupBy("declared", "suffix", "host", "best").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select("declared", "suffix", "host", voice(body).alias("best")).groupBy("declared", "suffix", "host", "best").agg(F.count(F.lit(1)).alias("n"))
     # kept as a table, so that the texts are scored once for all sums from it
     counts = materialise(counts, "language-counts")
     totals = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}
@@ -134,12 +133,12 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
         joined = joined.join(_shares(counts, by, known), by, "left")
 
     @F.pandas_udf("language string, posterior double, text_language string")
-    def fused(ll, h, s, d):
+    def fused(texts, h, s, d):
         import pandas as pd
 
         out = []
-        for own, at_host, at_suffix, said in zip(ll, h, s, d, strict=True):
-            own = np.asarray(own)
+        for t, at_host, at_suffix, said in zip(texts, h, s, d, strict=True):
+            own = model.likelihoods(t)
             if np.ptp(own) == 0:
                 out.append((UND, 1.0, UND))
                 continue
@@ -159,7 +158,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
             out.append((known[k], float(p[k]), known[int(own.argmax())]))
         return pd.DataFrame(out, columns=["language", "posterior", "text_language"])
 
-    got = joined.withColumn("x", fused("ll", "host_n", "suffix_n", "declared_n"))
+    got = joined.withColumn("x", fused(body, "host_n", "suffix_n", "declared_n"))
     accepted = (F.col("x.language") != UND) & (F.col("x.posterior") >= SURE)
     return got.select("row.*", "x.language", "x.posterior", "x.text_language", accepted.alias("accepted"))
 
