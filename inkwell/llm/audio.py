@@ -4,9 +4,9 @@ A media column holds mono 16-bit PCM. Overlapping frames are folded into twelve
 image of frames by pitch classes, each a few look-ups in its integral image, compare sums of neighbouring areas; each gives two
 bits and sixteen make a packed 32-bit integer for each frame position.
 
-Alignment: recordings with equal fingerprints form a class, and classes meet by the upper ``KEY_BITS`` bits of their integers (runs of one value
-count once). Votes for each offset make a histogram; the fullest offset is verified by the share of differing bits over
-the whole overlap. A stated set of queries is held against all recordings.
+Alignment: recordings with equal fingerprints form a class. A stated set of queries is held against all classes, in blocks of a bounded
+size: a block's index of upper ``KEY_BITS`` bits (runs of one value count once) goes to every task, each recording looks its own up, equal keys
+vote for an offset, and the fullest offset of each query is verified by the share of differing bits over the whole overlap.
 
 Edge cases: null, empty, silent or too short recordings have an empty fingerprint and form one class without links; an odd last byte is
 ignored; repeated rows share a class; an empty table gives an empty table.
@@ -35,6 +35,8 @@ LEAST_VOTES = 2
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 0.5
 QUERY_STEP = 100
+#: Positions of all queries in one block: its index takes some 50 MB.
+BLOCK_POSITIONS = 4_000_000
 
 
 def _fold() -> np.ndarray:
@@ -135,46 +137,90 @@ def fingerprints(df: DataFrame, key: str, media: str) -> DataFrame:
 
 
 def align(prints: DataFrame, key: str, is_query) -> tuple[DataFrame, DataFrame]:
-    """Classes ``mark, class_id, query`` and links ``one, other, offset, votes, bit_errors`` from classes with a query to other classes.
+    """Classes ``mark, cid, class_id, query`` and links ``one, other, offset, votes, bit_errors`` (by ``cid``) from classes with a query to other classes.
 
     ``offset``: position in ``other`` less position in ``one``.
     """
     classes = prints.groupBy("mark").agg(F.min(key).alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("query"), F.first("fp").alias("fp"))
-    classes = materialise(classes, "audio-classes")
-
-    @F.pandas_udf("array<struct<k:int,pos:int>>")
-    def keys(fps):
-        import pandas as pd
-
-        out = []
-        for body in fps:
-            k = (np.frombuffer(body, dtype="<u4") >> np.uint32(32 - KEY_BITS)).astype(np.int64)
-            first = np.flatnonzero(np.diff(k, prepend=-1))
-            out.append([{"k": int(k[i]), "pos": int(i)} for i in first])
-        return pd.Series(out, dtype=object)
-
-    posts = materialise(classes.select("mark", "query", F.explode(keys("fp")).alias("x")).select("mark", "query", "x.k", "x.pos"), "audio-posts")
-    asked = posts.where("query").select(F.col("mark").alias("one"), "k", F.col("pos").alias("at"))
-    votes = asked.join(posts.select(F.col("mark").alias("other"), "k", "pos"), "k").where("one <> other")
-    votes = votes.groupBy("one", "other", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    # the fullest offset; of equal ones the nearest to zero, then the least
-    best = votes.groupBy("one", "other").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("b"))
-    best = best.where(F.col("b.votes") >= LEAST_VOTES).select("one", "other", (-F.col("b.low")).alias("offset"), F.col("b.votes").alias("votes"))
-    held = best.join(classes.select(F.col("mark").alias("one"), F.col("fp").alias("a")), "one").join(classes.select(F.col("mark").alias("other"), F.col("fp").alias("b")), "other")
-
-    @F.pandas_udf("bit_errors double, overlap double")
-    def verify(a, b, offset):
-        import pandas as pd
-
-        rows = []
-        for x, y, o in zip(a, b, offset, strict=True):
-            x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
-            share, n = errors(x, y, int(o))
-            rows.append((share, n / min(len(x), len(y))))
-        return pd.DataFrame(rows, columns=["bit_errors", "overlap"])
-
-    links = held.select("one", "other", "offset", "votes", verify("a", "b", "offset").alias("x")).where((F.col("x.bit_errors") <= MOST_ERRORS) & (F.col("x.overlap") >= LEAST_OVERLAP))
-    return classes.drop("fp"), links.select("one", "other", "offset", "votes", F.col("x.bit_errors").alias("bit_errors"))
+    # a number for each class: its least key, or a hash where no row has a key
+    classes = materialise(classes.withColumn("cid", F.coalesce(F.col("class_id").cast("long"), F.xxhash64("mark"))), "audio-classes")
+
+    asked = classes.where("query")
+    size = asked.agg(F.sum(F.octet_length("fp"))).first()[0] or 0
+    blocks = max(1, -(-size // (4 * BLOCK_POSITIONS)))
+    links = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == block).select("cid", "fp").collect()
+        found = _against(classes, rows)
+        links = found if links is None else links.unionByName(found)
+    return classes.drop("fp"), links
+
+
+LINK = "one long, other long, offset int, votes int, bit_errors double"
+
+
+def _against(classes: DataFrame, rows: list) -> DataFrame:
+    """Links between one block of queries and all classes; the block's index, of a bounded size, goes to every task."""
+    cids = np.array([r["cid"] for r in rows], dtype=np.int64)
+    prints = [np.frombuffer(bytes(r["fp"]), dtype="<u4") for r in rows]
+    held = classes.sparkSession.sparkContext.broadcast((cids, prints, _index(prints)))
+
+    def run(batches):
+        cids, prints, index = held.value
+        for batch in batches:
+            out = [
+                (int(cids[q]), cid, offset, votes, share)
+                for cid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for q, offset, votes, share in _matches(np.frombuffer(body, dtype="<u4"), prints, index)
+                if cids[q] != cid
+            ]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in LINK.split(", ")])
+
+    return classes.select("cid", "fp").mapInArrow(run, LINK)
+
+
+def _keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bits at the first position of each run of equal ones."""
+    k = (fp >> np.uint32(32 - KEY_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[first], first
+
+
+def _index(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of all queries with their query's number and position."""
+    parts = [_keys(x) for x in prints]
+    keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, dtype=np.int64)])
+    order = np.argsort(keys, kind="stable")
+    owner = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+    at = np.concatenate([p for _, p in parts] or [np.zeros(0, dtype=np.int64)])
+    return keys[order], owner[order].astype(np.int32), at[order].astype(np.int32)
+
+
+def _matches(fp: np.ndarray, prints: list[np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float]]:
+    """Queries that a recording matches: number, offset, votes and share of differing bits at the fullest offset (nearest to zero, then least, among equals)."""
+    keys, owner, at = index
+    k, pos = _keys(fp)
+    low, high = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+    sizes = high - low
+    total = int(sizes.sum())
+    if not total:
+        return []
+    rows = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
+    pairs, votes = np.unique(np.stack([owner[rows], np.repeat(pos, sizes) - at[rows]], axis=1), axis=0, return_counts=True)
+    enough = votes >= LEAST_VOTES
+    pairs, votes = pairs[enough], votes[enough]
+    order = np.lexsort((pairs[:, 1], np.abs(pairs[:, 1]), -votes, pairs[:, 0]))
+    out, last = [], -1
+    for i in order.tolist():
+        q, offset = int(pairs[i, 0]), int(pairs[i, 1])
+        if q != last:
+            last = q
+            share, overlap = errors(prints[q], fp, offset)
+            if share <= MOST_ERRORS and overlap >= LEAST_OVERLAP * min(len(fp), len(prints[q])):
+                out.append((q, offset, int(votes[i]), share))
+    return out
 
 
 def render(values, note: int = 768) -> bytes:
@@ -182,7 +228,7 @@ def render(values, note: int = 768) -> bytes:
     x = np.nan_to_num(np.asarray(values if values is not None else [], dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
     if not len(x):
         return b""
-    pitch = 45 + np.round(np.clip(x, -1, 1) * 40).astype(np.int64) % 36
+    pitch = 45 + np.round(np.clip(x, -1, 1) * 96).astype(np.int64) % 36  # a unit vector's entries are small
     t = np.arange(note) / RATE
     hz = 440.0 * 2.0 ** ((pitch - 69) / 12.0)
     wave = 0.6 * np.sin(2 * np.pi * hz[:, None] * t) + 0.2 * np.sin(4 * np.pi * hz[:, None] * t)
@@ -206,10 +252,10 @@ def op3_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = rows.mapInArrow(play, "vec_id long, media binary")
     prints = materialise(fingerprints(media, "vec_id", "media"), "audio-prints")
     classes, links = align(prints, "vec_id", F.col("vec_id") % QUERY_STEP == 0)
-    names = classes.select("mark", "class_id", "query")
-    named = links.join(names.select(F.col("mark").alias("other"), F.col("class_id").alias("match_class")), "other")
+    names = classes.select("mark", "cid", "class_id", "query")
+    named = links.join(names.select(F.col("cid").alias("other"), F.col("class_id").alias("match_class")), "other")
     members = prints.select("vec_id", "mark").join(names, "mark")
-    carried = members.withColumn("one", F.when(F.col("vec_id") == F.col("class_id"), F.col("mark")))
+    carried = members.withColumn("one", F.when(F.col("vec_id") == F.col("class_id"), F.col("cid")))
     return carried.join(named, "one", "left").select("vec_id", "class_id", F.col("query").alias("queried"), "match_class", "offset", "votes", "bit_errors")
 
 

@@ -68,8 +68,8 @@ def test_alignment_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, media binary")
     prints = audio.fingerprints(df, "vec_id", "media")
     classes, links = audio.align(prints, "vec_id", F.col("vec_id") < 20)
-    ids = {bytes(r["mark"]): r["class_id"] for r in classes.collect()}
-    got = {(ids[bytes(r["one"])], ids[bytes(r["other"])]): r["offset"] for r in links.collect()}
+    ids = {r["cid"]: r["class_id"] for r in classes.collect()}
+    got = {(ids[r["one"]], ids[r["other"]]): r["offset"] for r in links.collect()}
     fps = {k: audio.fingerprint(m) for k, m in rows}
     want = set()
     for a in range(20):
