@@ -21,71 +21,106 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import scratch_path, table
 
 END_ID = 2
-WINDOW = 8
+WINDOW = 4
 #: Chunk sizes in ids: at least, on average beyond that, at most.
 LEAST, MEAN, MOST = 64, 256, 1024
 MANIFEST_ROWS = 1 << 14
-CACHE_PIECES = 200_000
+CACHE_PIECES = 700_000
 _GEAR = np.random.default_rng(1977).integers(0, 1 << 63, size=1 << 16, dtype=np.uint64)
 #: A space between two characters that are white space under no definition: tokens never cross it.
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85​᠎]) (?=[^\s\x1c-\x1f\x85​᠎])")
-_ODD_SPACE = re.compile(r"[^\S ]|  |^ | $|[\x1c-\x1f\x85​᠎]")
+_CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u200b\u180e]) (?=[^\\s\x1c-\x1f\x85\u200b\u180e])")
+#: White space other than single spaces and line ends inside a text.
+_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+#: Between single spaces and line ends: letters before signs or an end, signs before an end, a line end, or whatever else stands there.
+_PIECE = re.compile(rf" ?[{_LETTERS}]++(?=[{_SIGNS}]*+(?:[ \n]|\Z))| ?[{_SIGNS}]++(?=[ \n]|\Z)|\n| ?[^ \n]++")
+#: A piece that is one word of the byte-level pattern, whatever its length.
+_WORD = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+")
 
 
-class Encoder:
-    """The tokenizers library over pieces of a text that no token crosses; repeated pieces are encoded once."""
+class Encoder(dict):
+    """The tokenizers library over pieces of a text that no token crosses; a piece's ids are worked out when it is first looked up.
+
+    A piece that is one word of a byte-level tokenizer goes to the library's model at once, any other through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])] if text else []
+        self.word = self.tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"] or {}
+        self.byte_level = steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space") and not spec.get("normalizer")
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.byte_level and _WORD.fullmatch(piece):
+            plain = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.word(plain)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self[piece] = out = array("I", ids).tobytes()
+        return out
+
+    def pieces(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if not self.byte_level:
+            return [text]
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text):
+            parts = _CUT.split(text)
+            return [parts[0], *(" " + p for p in parts[1:])]
+        return _PIECE.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if new := list(set().union(*cut).difference(self.cache)):
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, dtype=np.uint32).tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), dtype=np.uint32) for c in cut]
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: a rolling hash (a rotating sum of the last ids' random words) decides, within the size limits."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    words = _GEAR[(ids & 0xFFFF).astype(np.int64)] ^ (ids >> 16).astype(np.uint64)
-    rolling = np.zeros(n, dtype=np.uint64)
-    for k in range(min(WINDOW, n)):
-        turn = (words << np.uint64(k)) | (words >> np.uint64(64 - k)) if k else words
-        rolling[k:] += turn[: n - k] if k else turn
-    marks = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        get = self.__getitem__
+        return [np.frombuffer(b"".join(map(get, self.pieces(t))), dtype=np.uint32) for t in texts]
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which a rolling hash (a sum of the last ids' random words, each turned by its distance) allows a cut."""
+    words = _GEAR[(ids & 0xFFFF).astype(np.int64)]
+    if len(ids) and ids.max() > 0xFFFF:
+        words = words ^ (ids >> 16).astype(np.uint64)
+    rolling = words.copy()
+    for k in range(1, min(WINDOW, len(ids))):
+        rolling[k:] += (words[:-k] << np.uint64(k)) | (words[:-k] >> np.uint64(64 - k))
+    return np.flatnonzero(rolling >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def cut_points(n: int, allowed: np.ndarray, first: int = 0) -> list[int]:
+    """Ends of the chunks of ``n`` ids from position ``first`` of the stream that ``allowed`` marks, within the size limits.
+
+    A chunk is longer than the hash's window, so what stands before a text in the stream never matters.
+    """
     out, at = [], 0
+    i = np.searchsorted(allowed, first)
     while n - at > LEAST:
-        i = np.searchsorted(marks, at + LEAST)
-        end = min(int(marks[i]) if i < len(marks) else n, at + MOST, n)
+        i += np.searchsorted(allowed[i:], first + at + LEAST)
+        end = min(int(allowed[i]) - first if i < len(allowed) else n, at + MOST, n)
         out.append(end)
         at = end
     if at < n:
@@ -181,30 +216,39 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
             sent: set[bytes] = set()  # of this batch only: bounded, and the aggregation removes the rest
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows: list[tuple] = []
-                for k, tie, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.encode(part.column(2).to_pylist()), strict=True):
-                    ids = np.concatenate([ids, tail])
-                    if len(ids) and int(ids.max()) >= limit:
-                        raise ValueError(f"id {int(ids.max())} needs more than {width} bytes")
-                    own, begin = [], 0
-                    for end in cut_points(ids):
-                        body = ids[begin:end].astype(dtype).tobytes()
+                addresses, sizes, bodies, counts, owned = [], [], [], [], []
+                coded = [x for ids in encoder.encode(part.column(2).to_pylist()) for x in (ids, tail)]
+                stream = np.concatenate(coded)
+                if len(stream) and int(stream.max()) >= limit:
+                    raise ValueError(f"id {int(stream.max())} needs more than {width} bytes")
+                raw, allowed, first = stream.astype(dtype).tobytes(), marks(stream), 0
+                for ids in coded[::2]:
+                    n, own, begin = len(ids) + len(tail), [], 0
+                    for end in cut_points(n, allowed, first):
+                        body = raw[(first + begin) * width : (first + end) * width]
                         own.append(hashlib.sha256(body).digest())
                         if own[-1] not in sent:
                             sent.add(own[-1])
-                            rows.append(("objects", own[-1], None, None, end - begin, body, None))
+                            addresses.append(own[-1])
+                            sizes.append(end - begin)
+                            bodies.append(body)
                         begin = end
-                    rows.append(("links", None, k, tie, len(ids), None, own))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), part.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())), strict=True)],
-                    names=columns,
-                )
+                    counts.append(n)
+                    owned.append(own)
+                    first += n
+                n, m, keyed = len(bodies), len(owned), part.column(0)
+                many = pa.list_(pa.binary())
+                objects = (pa.array(["objects"] * n, pa.string()), pa.array(addresses, pa.binary()), pa.nulls(n, keyed.type), pa.nulls(n, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), pa.nulls(n, many))
+                links = (pa.array(["links"] * m, pa.string()), pa.nulls(m, pa.binary()), keyed, part.column(1), pa.array(counts, pa.int32()), pa.nulls(m, pa.binary()), pa.array(owned, many))
+                yield pa.RecordBatch.from_arrays(list(objects), names=columns)
+                yield pa.RecordBatch.from_arrays(list(links), names=columns)
 
     tie = F.xxhash64(F.col(text), F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
     mixed = df.select(F.col(key), tie.alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, MIXED.format(key=kind))
     # one exchange for both kinds: chunks meet by address; links keep to themselves by key and tie, repeated rows as a count
     one = mixed.groupBy("kind", "address", "key", "tie", "n", "addresses").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
-    one.write.partitionBy("kind").parquet(f"{path}/parts")
+    # payloads differ from each other: a column dictionary would only cost
+    one.write.option("parquet.enable.dictionary", "false").partitionBy("kind").parquet(f"{path}/parts")
     _write_recipes(spark, path, key, kind)
 
 
@@ -271,39 +315,40 @@ def checksums(spark: SparkSession, path: str, key: str = "doc_id", width: int =
     CRC-32 of joined strings follows from the parts' CRCs and lengths, so payloads don't travel; roots are checked on the way.
     """
 
-    def sums(payloads, addresses):
-        import pandas as pd
-
-        out = []
-        for body, address in zip(payloads, addresses, strict=True):
-            if hashlib.sha256(body).digest() != address:
-                raise ValueError(f"object {address.hex()} is damaged")
-            out.append(zlib.crc32(np.frombuffer(body, dtype=f"<u{width}").astype("<u4").tobytes()))
-        return pd.Series(out, dtype="int64")
-
-    crc = F.pandas_udf(sums, "long")
-    made = objects(spark, path).select("address", F.col("n").alias("len"), crc("payload", "address").alias("crc"))
+    def sums(batches):
+        for batch in batches:
+            addresses, bodies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for body, address in zip(bodies, addresses, strict=True):
+                if hashlib.sha256(body).digest() != address:
+                    raise ValueError(f"object {address.hex()} is damaged")
+            crcs = [zlib.crc32(np.frombuffer(b, dtype=f"<u{width}").astype("<u4").tobytes()) for b in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["address", "len", "crc"])
+
+    made = objects(spark, path).select("address", "n", "payload").mapInArrow(sums, "address binary, len int, crc long")
     links = recipes(spark, path).select("block", "place", F.posexplode("addresses").alias("pos", "address"))
     by_row = links.join(made, "address").groupBy("block", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "len", "crc"))).alias("parts"))
 
-    def whole(parts, roots):
-        import pandas as pd
+    def whole(batches):
+        for batch in batches:
+            parts = batch.column(3)
+            flat = parts.flatten()
+            addresses, sizes, crcs = (flat.field(i).to_pylist() for i in (1, 2, 3))
+            counts, totals, at = [], [], 0
+            for n, root in zip(parts.value_lengths().to_pylist(), batch.column(2).to_pylist(), strict=True):
+                end = at + (n or 0)
+                if merkle(addresses[at:end]) != root:
+                    raise ValueError("a recipe does not fit its root")
+                total = 0
+                for crc, size in zip(crcs[at:end], sizes[at:end], strict=True):
+                    total = crc_append(total, crc, 4 * size)
+                counts.append(sum(sizes[at:end]))
+                totals.append(total)
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-        out = []
-        for row, root in zip(parts, roots, strict=True):
-            row = [] if row is None else list(row)
-            if merkle([x["address"] for x in row]) != root:
-                raise ValueError("a recipe does not fit its root")
-            total = 0
-            for x in row:
-                total = crc_append(total, int(x["crc"]), 4 * int(x["len"]))
-            out.append((sum(int(x["len"]) for x in row), total))
-        return pd.DataFrame(out, columns=["n", "crc"])
-
-    combine = F.pandas_udf(whole, "n long, crc long")
     heads = recipes(spark, path).select("block", "place", key, "start", "root")
-    got = heads.join(by_row, ["block", "place"], "left").select(key, "start", combine("parts", "root").alias("x"))
-    return got.select(key, "start", F.col("x.n").alias("n_tokens"), F.col("x.crc").alias("ids_crc32"))
+    got = heads.join(by_row, ["block", "place"], "left").select(key, "start", "root", "parts")
+    return got.mapInArrow(whole, f"`{key}` {heads.schema[key].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,23 @@ def test_cuts_follow_content():
     passage = rng.integers(0, 50_000, 6000)
     a = np.concatenate([rng.integers(0, 50_000, 777), passage])
     b = np.concatenate([rng.integers(0, 50_000, 1333), passage])
-    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *ts.cut_points(x)], ts.cut_points(x), strict=False)}
+    cuts = lambda x: ts.cut_points(len(x), ts.marks(x))
+    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *cuts(x)], cuts(x), strict=False)}
     assert len(chunks(a) & chunks(b)) >= 10
     for x in (a, b, a[:10], a[:0], np.zeros(5000, dtype=np.int64)):
-        ends = ts.cut_points(x)
+        ends = cuts(x)
         assert sum(np.diff([0, *ends])) == len(x) and all(d <= ts.MOST for d in np.diff([0, *ends]))
 
 
+def test_cuts_do_not_depend_on_what_stands_before():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 60_000 + 40_000 * (i % 2), n) for i, n in enumerate((5, 900, 64, 0, 3000, 65, 4097))]
+    stream, first = np.concatenate(texts), 0
+    for x in texts:
+        assert ts.cut_points(len(x), ts.marks(stream), first) == ts.cut_points(len(x), ts.marks(x))
+        first += len(x)
+
+
 def test_crc_of_joined_parts():
     for a, b in ((b"", b""), (b"abc", b""), (b"", b"abc"), (b"one", b"two" * 1000), (bytes(5000), b"\xff")):
         assert ts.crc_append(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
