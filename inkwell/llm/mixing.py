@@ -9,8 +9,8 @@ for each step, so nothing but those sums reaches the driver.
 Only DataFrame functions run here. Words are scored against a broadcast table of ``SLOTS`` rows (a fixed size) and summed for each
 document before any shuffle.
 
-Edge cases: a text without words has no tokens, the prior as posterior, and the rate that follows from it; domains are the ``MOST_DOMAINS`` most
-frequent labels at most; a labelled table without labels gives one domain, and so the rate one times its target's share; rows that repeat
+Edge cases: a text without words has no tokens, the prior as posterior, and the rate that follows from it; every label is a
+domain, and a target for a domain without labelled rows is an error (sums grow with the square of their number); a labelled table without labels gives one domain, and so the rate one times its target's share; rows that repeat
 an id are rows of their own; an empty table gives an empty table.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import let, materialise, table, unit_hash
 
 SLOTS = 4096
-TRAIN_ROWS = 4000
-MOST_DOMAINS = 16
+#: Labelled rows that a domain is learned from, about.
+TRAIN_ROWS = 1000
 #: A text speaks with the evidence of so many words at most: memberships stay soft.
 EVIDENCE = 24.0
 FLATTEN = 0.9
@@ -45,14 +45,18 @@ def _slot(word: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, domain: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """``text, domain`` of at most ``rows`` rows of ``docs`` whose keys are in ``labels``, by hash order."""
-    keys = labels.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
-    return docs.join(keys, key, "left_semi").where(F.col(domain).isNotNull()).select(F.col(text).alias("text"), F.col(domain).cast("string").alias("domain"))
+    """``text, domain, of`` of rows of ``docs`` whose keys are in ``labels``: all of a domain of up to ``rows`` (``of``), about ``rows`` of a larger one, by a seeded hash of the key."""
+    named = docs.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).select(F.col(key), F.col(domain).cast("string").alias("domain"), F.col(text).alias("text"))
+    known = materialise(named.select(key, "domain").join(labels.select(key).distinct(), key, "left_semi"), "mixing-labelled")
+    sizes = known.groupBy("domain").agg(F.count(F.lit(1)).alias("of"))
+    # one row for each domain: broadcasting is safe
+    chosen = known.join(F.broadcast(sizes), "domain").where(unit_hash(F.lit(SEED), F.col(key)) * F.col("of") < rows).distinct()
+    return named.join(materialise(chosen, "mixing-chosen"), [key, "domain"]).select("text", "domain", "of")
 
 
 def fit_classifier(sample: DataFrame) -> tuple[list[str], DataFrame, list[float]]:
-    """Domains, their word table (``slot, w``: log-probabilities for each domain; ``SLOTS`` rows) and log-priors."""
-    sizes = sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS).collect()
+    """Domains, their word table (``slot, w``: log-probabilities for each domain; ``SLOTS`` rows) and log-priors from ``of``. Every label of the sample is a domain."""
+    sizes = sample.groupBy("domain").agg(F.max("of").alias("n")).collect()
     domains = sorted(r["domain"] for r in sizes) or ["all"]
     priors = {r["domain"]: r["n"] for r in sizes}
     total = sum(priors.values())
@@ -108,12 +112,14 @@ def fit_rates(table_: DataFrame, domains: int, targets: list[float] | None = Non
     rate: Column = F.lit(1.0)
     reached: list[float] = []
     for _ in range(steps + 1):
-        weight = (n * rate).cast("double")
+        # the rate once for each row, whatever the number of sums
+        now = table_.select("p", "n_tokens", rate.alias("now"))
+        weight = (n * F.col("now")).cast("double")
         sums = [F.sum(weight * F.get(p, i)).alias(f"t{i}") for i in range(domains)]
-        inside = rate > 0 if most is None else (rate > 0) & (rate < most)
+        inside = F.col("now") > 0 if most is None else (F.col("now") > 0) & (F.col("now") < most)
         free = F.when(inside if reached else F.lit(True), n.cast("double")).otherwise(0.0)
         gram = [F.sum(free * F.get(p, i) * F.get(p, j)).alias(f"g{i}_{j}") for i in range(domains) for j in range(i + 1)]
-        got = table_.agg(*sums, *gram).first().asDict()
+        got = now.agg(*sums, *gram).first().asDict()
         reached = [got[f"t{i}"] or 0.0 for i in range(domains)]
         if targets is None:
             targets = natural_targets(reached)
@@ -132,19 +138,28 @@ def copies(rate: Column, *key: Column, seed: int = SEED) -> Column:
     return (F.floor(rate) + F.when(unit_hash(F.lit(seed), *key) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, most: float | None = MOST_COPIES) -> DataFrame:
-    """``key, n_tokens, domains, p, rate, copies`` for each row of ``docs``. ``targets``: tokens for each domain; ``most``: greatest rate."""
+def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, most: float | None = MOST_COPIES, weight: float | None = None) -> DataFrame:
+    """``key, n_tokens, domains, p, rate, copies`` for each row of ``docs``. ``targets``: tokens for each domain; ``most``: greatest rate.
+
+    With ``weight``, each domain's target is an equal part of all tokens times ``weight``.
+    """
     classifier = fit_classifier(labelled_sample(docs, labels, domain, key, text))
     names = classifier[0]
+    if targets and (unknown := sorted(set(targets) - set(names))):
+        raise ValueError(f"no labelled rows for the targeted domains {unknown}")
     scored = materialise(posteriors(docs, classifier, key, text), "mixing-posteriors")
+    if weight is not None:
+        whole = scored.agg(F.sum("n_tokens")).first()[0] or 0
+        targets = {d: weight * whole / len(names) for d in names}
     rate, _, _ = fit_rates(scored, len(names), [float(targets.get(d, 0.0)) for d in names] if targets else None, most)
     out = scored.select("rid", key, "n_tokens", F.array(*[F.lit(d) for d in names]).alias("domains"), "p", rate.alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col(key), F.when(F.col(key).isNull(), F.col("rid")))).drop("rid")
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return rates(docs, table(spark, sf_dir, "labels"))
+    """Sources are the domains; the stated weights are equal: each source is to give the same part of all tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return rates(docs, table(spark, sf_dir, "labels"), "source", weight=1.0)
 
 
 QUERIES = {"op9_soft_mixing": op9_soft_mixing}

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import mixing
@@ -78,3 +79,21 @@ def test_query_and_edges(spark, docs, tmp_path):
         assert len(out) == len(data) and all(r["rate"] >= 0 and r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) for r in out)
     plan = mixing.op9_soft_mixing(spark, f"{tmp_path}/a")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_every_domain_is_fitted(spark, docs):
+    rng = random.Random(6)
+    # 20 sources, the last one rare: 3 of about 5000 labelled rows
+    rows = [(i, " ".join(f"s{i % 19}w{rng.randrange(9)}" for _ in range(20)), "en", f"s{i % 19}", 0) for i in range(5000)]
+    rows += [(9000 + i, " ".join(f"rare{rng.randrange(9)}" for _ in range(20)), "en", "rare", 0) for i in range(3)]
+    known = labels(spark, [r[0] for r in rows])
+    sample = mixing.labelled_sample(docs(rows), known, "source", rows=100)
+    sizes = {r["domain"]: (r["n"], r["of"]) for r in sample.groupBy("domain").agg(F.count("of").alias("n"), F.max("of").alias("of")).collect()}
+    assert len(sizes) == 20 and sizes["rare"] == (3, 3) and all(50 < n < 160 for d, (n, _) in sizes.items() if d != "rare")
+    targets = {f"s{k}": 4000.0 for k in range(19)} | {"rare": 180.0}
+    got = mixing.rates(docs(rows), known, "source", targets=targets).collect()
+    assert len(got[0]["domains"]) == 20
+    at = got[0]["domains"].index("rare")
+    assert math.isclose(sum(r["rate"] * r["n_tokens"] * r["p"][at] for r in got), 180.0, rel_tol=0.02)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.rates(docs(rows), known, "source", targets={"nowhere": 1.0})
