@@ -50,6 +50,41 @@ def test_extra_columns_of_any_name(spark):
     assert sorted(out.select("record.shard", "record.bucket").collect()) == [(7, 6), (9, 8)]
 
 
+def test_rows_of_one_key_share_no_bucket(spark, docs):
+    """A hot key's records are spread like any others; every record arrives once."""
+    rows = [(1, "the same words")] * 10_000 + [(k, f"text {k}") for k in range(2, 1500)]
+    df = docs(rows).repartition(5).cache()
+    out = sharding.external_shuffle(df, scratch_path(spark, "test-hot"), shards=10, bucket_bytes=10_000)
+    files = out.select("record.doc_id", F.input_file_name().alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()
+    assert len(files) >= 20 and max(r["n"] for r in files) < 2000
+    got = out.select("record.doc_id", "record.text", "shard", "slot").collect()
+    assert sorted((r[0], r[1]) for r in got) == sorted(rows)
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(rows)
+
+
+def test_one_exchange_of_records(spark, docs, tmp_path):
+    """The plan has no join with the records but the broadcast of heavy keys, however small broadcasts must be."""
+    docs([(i, "word " * 50) for i in range(4000)]).write.parquet(f"{tmp_path}/d.parquet")
+    df, old = spark.read.parquet(f"{tmp_path}/d.parquet"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        out = sharding.external_shuffle(df, scratch_path(spark, "test-plan"), bucket_bytes=50_000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert out.count() == 4000 and out.select("shard", "slot").distinct().count() == 4000
+
+
+def test_ties_in_key_and_text_follow_other_columns(spark):
+    rows = [(1, "same", i) for i in range(50)]
+
+    def order(frame):
+        out = sharding.external_shuffle(frame, scratch_path(spark, "test-ties"), shards=1)
+        return [r[0] for r in out.orderBy("slot").select("record.more").collect()]
+
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string, more int").coalesce(1)
+    assert order(make(rows)) == order(make(rows[::-1]))
+
+
 def test_main_path_runs_no_python(spark, docs):
     out = sharding.external_shuffle(docs([(1, "a")]), scratch_path(spark, "test-shards"))
     assert "Python" not in out.select(F.col("shard"))._jdf.queryExecution().toString()
