@@ -35,7 +35,7 @@ GROUP = 1 << 10
 
 def default_bucket_bytes(spark: SparkSession) -> int:
     """A bucket that a task of the session's executors can hold."""
-    local = spark.sparkContext.master.startswith("local")
+    local = spark.sparkContext.master.split("[")[0] == "local"
     memory = spark.sparkContext.getConf().get("spark.driver.memory" if local else "spark.executor.memory", "1g")
     cores = spark.sparkContext.defaultParallelism if local else int(spark.sparkContext.getConf().get("spark.executor.cores", "1"))
     share = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(memory) // max(cores, 1)

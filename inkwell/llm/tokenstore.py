@@ -6,14 +6,17 @@ recipe: its chunk addresses in order and the Merkle root over them. The manifest
 
 Files under the given path (Parquet):
   ``objects/``   address, n, payload (little-endian ids of the store's width); partitioned by kind, see below
-  ``recipes/``   key, start, n_tokens, addresses, root; written in ascending key order (one file after the other)
-  ``manifest/``  block, first and last key, rows, root of each block of recipes
+  ``recipes/``   block, place, key, before (ids of the block's earlier rows), n_tokens, addresses, root; file after file in ascending key order
+  ``manifest/``  block, first and last key, rows, tokens, root of each block of recipes, and the ids of all blocks before it
+  ``head/``      blocks, rows, tokens and the root over all blocks' roots
 
 One shuffle moves chunk payloads and recipes together, with partial aggregation by address, so a chunk that thousands of documents share
-is sent once by each map task. Reading checks every payload against its address and every recipe against its root.
+is sent once by each map task. Reading checks every payload against its address, every recipe against its root, every block's rows against the
+manifest and the manifest against the head: a lost or altered object, recipe or block is an error.
 
 Edge cases: a null text counts as empty and still gets its end id. Rows with a null key come first in the order. Rows that
 repeat a key (or have none) stay separate rows, in the order of their texts' hashes. An empty table gives an empty store. Ids beyond the store's width raise an error.
+Only key and text are stored, so other columns never clash; a key named like a column of a result is called ``key`` there.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
@@ -36,7 +39,7 @@ WINDOW = 4
 #: Chunk sizes in ids: at least, on average beyond that, at most.
 LEAST, MEAN, MOST = 64, 256, 1024
 MANIFEST_ROWS = 1 << 14
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 _GEAR = np.random.default_rng(1977).integers(0, 1 << 63, size=1 << 16, dtype=np.uint64)
 #: A space between two characters that are white space under no definition: tokens never cross it.
 _CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u200b\u180e]) (?=[^\\s\x1c-\x1f\x85\u200b\u180e])")
@@ -64,6 +67,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -75,6 +79,9 @@ class Encoder(dict):
         self.symbols = dict(enumerate(byte_symbols()))
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.older.get(piece)) is not None:
+            self[piece] = known
+            return known
         if self.byte_level and _WORD.fullmatch(piece):
             plain = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
             ids = [t.id for t in self.word(plain)]
@@ -95,6 +102,8 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > CACHE_PIECES:
+            # what is still in use comes back from the older half
+            self.older = dict(self)
             self.clear()
         get = self.__getitem__
         return [np.frombuffer(b"".join(map(get, self.pieces(t))), dtype=np.uint32) for t in texts]
@@ -246,38 +255,102 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
     tie = F.xxhash64(F.col(text), F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
     mixed = df.select(F.col(key), tie.alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, MIXED.format(key=kind))
     # one exchange for both kinds: chunks meet by address; links keep to themselves by key and tie, repeated rows as a count
-    one = mixed.groupBy("kind", "address", "key", "tie", "n", "addresses").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
+    # (the address leads: rows are sorted by it)
+    one = mixed.groupBy("address", "key", "tie", "n", "addresses", "kind").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
     # payloads differ from each other: a column dictionary would only cost
     one.write.option("parquet.enable.dictionary", "false").partitionBy("kind").parquet(f"{path}/parts")
     _write_recipes(spark, path, key, kind)
 
 
+RECIPE = "block int, place int, key {key}, before long, n_tokens long, addresses array<binary>, root binary"
+RESULT = ("start", "n_tokens", "token_ids", "ids_crc32", "block", "place", "pos")
+GROUP = 1 << 10
+
+
+def _named(key: str) -> str:
+    return "key" if key.lower() in RESULT else key
+
+
 def _write_recipes(spark: SparkSession, path: str, key: str, kind: str) -> None:
     links = spark.read.schema(f"key {kind}, tie long, n int, addresses array<binary>, copies long, kind string").parquet(f"{path}/parts").where("kind = 'links'")
-    rows = links.select("key", "tie", "n", "addresses", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("kind")
-    blocks = max(1, -(-rows.count() // MANIFEST_ROWS))
+    rows = links.select("key", "tie", "n", "addresses", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    blocks = max(1, -(-int(links.agg(F.sum("copies")).first()[0] or 0) // MANIFEST_ROWS))
     order = [F.col("key").asc_nulls_first(), F.col("tie"), F.col("copy")]
-    ranged = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
-    ranged.write.parquet(f"{path}/ranged")
-    ranged = spark.read.schema(ranged.schema).parquet(f"{path}/ranged")
-    totals = ranged.groupBy("block").agg(F.sum("n").alias("t"))
-    starts = totals.select("block", F.expr("sum(t) over (order by block rows between unbounded preceding and current row) - t").alias("before"))
-    running = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    root = F.pandas_udf(lambda s: s.map(lambda a: merkle(list(a))), "binary")
-    recipes = ranged.join(starts, "block").select(
-        "block",
-        F.row_number().over(Window.partitionBy("block").orderBy(*order)).alias("place"),
-        F.col("key").alias(key),
-        (F.col("before") + F.coalesce(F.sum("n").over(running), F.lit(0))).alias("start"),
-        F.col("n").cast("long").alias("n_tokens"),
-        "addresses",
-        root("addresses").alias("root"),
-    )
-    recipes.sortWithinPartitions("block", "place").write.parquet(f"{path}/recipes")
-    made = spark.read.schema(recipes.schema).parquet(f"{path}/recipes")
-    over = F.pandas_udf(lambda s: s.map(lambda a: merkle([x["root"] for x in a])), "binary")
-    manifest = made.groupBy("block").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
-    manifest.select("block", "first", "last", "rows", over("roots").alias("root")).write.parquet(f"{path}/manifest")
+
+    def number(batches):
+        """Rows in their order: a partition is a block, as it is a file."""
+        from pyspark import TaskContext
+
+        block, place, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            m, sizes = batch.num_rows, np.asarray(batch.column(1)).astype(np.int64)
+            ends = before + np.cumsum(sizes)
+            lists = batch.column(2)
+            flat, at, roots = lists.flatten().to_pylist(), 0, []
+            for k in lists.value_lengths().to_pylist():
+                roots.append(merkle(flat[at : at + k]))
+                at += k
+            columns = [pa.array(np.full(m, block, np.int32)), pa.array(np.arange(place, place + m, dtype=np.int32)), batch.column(0), pa.array(ends - sizes), pa.array(sizes), lists, pa.array(roots, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "key", "before", "n_tokens", "addresses", "root"])
+            if m:
+                place, before = place + m, int(ends[-1])
+
+    ranged = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).select("key", "n", "addresses")
+    ranged.mapInArrow(number, RECIPE.format(key=kind)).write.parquet(f"{path}/recipes")
+    made = _blocks(_stored(spark, path, key, kind)).withColumn("g", F.expr(f"block div {GROUP}"))
+    inner = made.select("*", F.expr("sum(tokens) over (partition by g order by block) - tokens").alias("inner_"))
+    outer = made.groupBy("g").agg(F.sum("tokens").alias("t")).select("g", F.expr("sum(t) over (order by g) - t").alias("outer_"))
+    inner.join(outer, "g").select("block", "first", "last", "rows", "tokens", "root", (F.col("inner_") + F.col("outer_")).alias("start")).write.parquet(f"{path}/manifest")
+    _head(_manifest(spark, path, kind)).write.parquet(f"{path}/head")
+
+
+def _merkle_of(column: str):
+    return F.pandas_udf(lambda s: s.map(lambda a: merkle([x["root"] for x in a])), "binary")(column)
+
+
+def _blocks(stored: DataFrame) -> DataFrame:
+    """``block, first, last, rows, tokens, root`` as the recipes themselves have them; a block has about ``MANIFEST_ROWS`` rows."""
+    sums = [F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens")]
+    made = stored.groupBy("block").agg(*sums, F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
+    return made.select("block", "first", "last", "rows", "tokens", _merkle_of("roots").alias("root"))
+
+
+def _head(manifest: DataFrame) -> DataFrame:
+    """One row over the manifest, by groups of blocks: blocks, rows, tokens, root."""
+    sums = lambda n: [F.sum(n).alias("blocks"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens")]
+    groups = manifest.groupBy(F.expr(f"block div {GROUP}").alias("place")).agg(*sums(F.lit(1)), F.array_sort(F.collect_list(F.struct("block", "root"))).alias("roots"))
+    tops = groups.select("place", "blocks", "rows", "tokens", _merkle_of("roots").alias("root"))
+    top = tops.agg(*sums("blocks"), F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
+    return top.select("blocks", "rows", "tokens", _merkle_of("roots").alias("root"))
+
+
+def _kind(df: DataFrame, column: str = "key") -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _stored(spark: SparkSession, path: str, key: str = "key", kind: str | None = None) -> DataFrame:
+    reader = spark.read if kind is None else spark.read.schema(RECIPE.format(key=kind))
+    return reader.parquet(f"{path}/recipes")
+
+
+def _manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"block int, first {kind}, last {kind}, rows long, tokens long, root binary, start long").parquet(f"{path}/manifest")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raise an error unless recipes, manifest and head fit each other. Reads keys, sizes and roots only."""
+    stored = _stored(spark, path)
+    manifest = _manifest(spark, path, _kind(stored))
+    head = spark.read.parquet(f"{path}/head")
+    if not _head(manifest).exceptAll(head).isEmpty() or head.count() != 1:
+        raise ValueError("the manifest does not fit its head")
+    now = _blocks(stored).select("block", *[F.col(c).alias(f"own_{c}") for c in ("rows", "tokens", "root")])
+    unlike = F.lit(False)
+    for c in ("rows", "tokens", "root"):
+        unlike = unlike | ~F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    bad = sorted(r["block"] for r in manifest.join(now, "block", "full").where(unlike).select("block").limit(10).collect())
+    if bad:
+        raise ValueError(f"recipes of blocks {bad} do not fit the manifest")
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
@@ -285,35 +358,65 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("address binary, n int, payload binary, kind string").parquet(f"{path}/parts").where("kind = 'objects'").drop("kind")
 
 
-def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/recipes")
+def recipes(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """``key, start, n_tokens, block, place, addresses, root`` of every document."""
+    stored = _stored(spark, path)
+    starts = _manifest(spark, path, _kind(stored)).select("block", "start")
+    return stored.join(starts, "block").select(F.col("key").alias(_named(key)), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "block", "place", "addresses", "root")
+
+
+def _links(spark: SparkSession, path: str) -> DataFrame:
+    """``key, start, n_tokens, block, place, pos, address``: a row for each chunk of each recipe that fits its root."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(5)
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            addresses, at = flat.to_pylist(), 0
+            for k, root in zip(sizes.tolist(), batch.column(6).to_pylist(), strict=True):
+                if merkle(addresses[at : at + k]) != root:
+                    raise ValueError("a recipe does not fit its root")
+                at += k
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            pos = np.arange(at) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([*(c.take(owner) for c in batch.columns[:5]), pa.array(pos.astype(np.int32)), flat], names=["key", "start", "n_tokens", "block", "place", "pos", "address"])
+
+    rows = recipes(spark, path, "key")
+    return rows.mapInArrow(run, f"key {_kind(rows)}, start long, n_tokens long, block int, place int, pos int, address binary")
 
 
 def reconstruct(spark: SparkSession, path: str, key: str = "doc_id", width: int = 2) -> DataFrame:
-    """``key, start, n_tokens, token_ids`` from the files alone; a payload that doesn't fit its address raises an error."""
-    links = recipes(spark, path).select(key, "start", "n_tokens", "block", "place", F.posexplode("addresses").alias("pos", "address"))
+    """``key, start, n_tokens, token_ids`` from the files alone; a payload that doesn't fit its address, and a lost one, raise an error."""
+    verify(spark, path)
 
     def run(payloads, addresses):
         import pandas as pd
 
         out = []
         for body, address in zip(payloads, addresses, strict=True):
+            if body is None:
+                raise ValueError(f"object {address.hex()} is lost")
             if hashlib.sha256(body).digest() != address:
                 raise ValueError(f"object {address.hex()} is damaged")
             out.append(np.frombuffer(body, dtype=f"<u{width}").astype(np.int64))
         return pd.Series(out, dtype=object)
 
     ids = F.pandas_udf(run, "array<long>")
-    whole = links.join(objects(spark, path), "address").select(key, "start", "n_tokens", "block", "place", "pos", ids("payload", "address").alias("ids"))
-    parts = whole.groupBy(key, "start", "n_tokens", "block", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return parts.select(key, "start", "n_tokens", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
+    whole = _links(spark, path).join(objects(spark, path), "address", "left").select("key", "start", "n_tokens", "block", "place", "pos", ids("payload", "address").alias("ids"))
+    parts = whole.groupBy("key", "start", "n_tokens", "block", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    found = parts.select("block", "place", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
+    # a text without ids (no end id either) has a recipe without chunks
+    heads = recipes(spark, path, "key").select(F.col("key").alias(_named(key)), "start", "n_tokens", "block", "place")
+    return heads.join(found, ["block", "place"], "left").select(_named(key), "start", "n_tokens", F.coalesce("token_ids", F.array().cast("array<long>")).alias("token_ids"))
 
 
 def checksums(spark: SparkSession, path: str, key: str = "doc_id", width: int = 2) -> DataFrame:
     """``key, start, n_tokens, ids_crc32`` from the files: each stored chunk is read, checked and summed once, and recipes combine the sums.
 
-    CRC-32 of joined strings follows from the parts' CRCs and lengths, so payloads don't travel; roots are checked on the way.
+    CRC-32 of joined strings follows from the parts' CRCs and lengths, so payloads don't travel, and a document's chunks are
+    summed as they stream by in order. A text without any ids (no end id either) has sum 0.
     """
+    verify(spark, path)
 
     def sums(batches):
         for batch in batches:
@@ -325,30 +428,44 @@ def checksums(spark: SparkSession, path: str, key: str = "doc_id", width: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["address", "len", "crc"])
 
     made = objects(spark, path).select("address", "n", "payload").mapInArrow(sums, "address binary, len int, crc long")
-    links = recipes(spark, path).select("block", "place", F.posexplode("addresses").alias("pos", "address"))
-    by_row = links.join(made, "address").groupBy("block", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "len", "crc"))).alias("parts"))
+    links = _links(spark, path)
+    parts = links.join(made, "address", "left").select("block", "place", "pos", "key", "start", "n_tokens", "len", "crc")
+    streamed = parts.repartition("block", "place").sortWithinPartitions("block", "place", "pos")
 
     def whole(batches):
+        now, crc, size = None, 0, 0  # the document that the last batch ended in
         for batch in batches:
-            parts = batch.column(3)
-            flat = parts.flatten()
-            addresses, sizes, crcs = (flat.field(i).to_pylist() for i in (1, 2, 3))
-            counts, totals, at = [], [], 0
-            for n, root in zip(parts.value_lengths().to_pylist(), batch.column(2).to_pylist(), strict=True):
-                end = at + (n or 0)
-                if merkle(addresses[at:end]) != root:
-                    raise ValueError("a recipe does not fit its root")
-                total = 0
-                for crc, size in zip(crcs[at:end], sizes[at:end], strict=True):
-                    total = crc_append(total, crc, 4 * size)
-                counts.append(sum(sizes[at:end]))
-                totals.append(total)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
-
-    heads = recipes(spark, path).select("block", "place", key, "start", "root")
-    got = heads.join(by_row, ["block", "place"], "left").select(key, "start", "root", "parts")
-    return got.mapInArrow(whole, f"`{key}` {heads.schema[key].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
+            block, place, pos, keys, start, total, sizes, crcs = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for row in zip(block, place, pos, keys, start, total, sizes, crcs, strict=True):
+                if row[6] is None:
+                    raise ValueError("an object is lost")
+                if now is None or row[:2] != now[:2]:
+                    if now is not None:
+                        out.append(_ended(now, size, crc))
+                    crc, size = row[7], row[6]
+                else:
+                    crc, size = crc_append(crc, row[7], 4 * row[6]), size + row[6]
+                now = row
+            yield _sums(out, batch.column(3).type)
+        if now is not None:
+            yield _sums([_ended(now, size, crc)], batch.column(3).type)
+
+    kind, name = _kind(links), _named(key)
+    got = streamed.mapInArrow(whole, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", name)
+    none = recipes(spark, path, key).where("n_tokens = 0").select(name, "start", "n_tokens", F.lit(0).cast("long").alias("ids_crc32"))
+    return got.unionByName(none)
+
+
+def _ended(row: tuple, size: int, crc: int) -> tuple:
+    if size != row[5]:
+        raise ValueError("a document's chunks do not make its length")
+    return row[3], row[4], size, crc
+
+
+def _sums(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.int64(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
 
 
 def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:

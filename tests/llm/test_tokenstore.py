@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkwell.llm import tokenstore as ts
@@ -75,6 +76,84 @@ def test_round_trip_and_digests(spark, docs, plain):
     assert rows_in_manifest == len(rows)
 
 
+def rewritten(spark, path, name, change):
+    """The store's table ``name`` after ``change``, in its place."""
+    df = change(spark.read.parquet(f"{path}/{name}")).cache()
+    df.count()
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    df.unpersist()
+
+
+@pytest.mark.parametrize(
+    "name, change, says",
+    [
+        ("recipes", lambda d: d.where("key <> 2"), "do not fit the manifest"),
+        ("recipes", lambda d: d.withColumn("addresses", F.reverse("addresses")), "does not fit its root"),
+        ("recipes", lambda d: d.withColumn("root", F.when(F.col("key") == 3, F.lit(b"another")).otherwise(F.col("root"))), "do not fit the manifest"),
+        ("manifest", lambda d: d.where("block <> 0"), "does not fit its head"),
+        ("manifest", lambda d: d.withColumn("tokens", F.col("tokens") + 1), "does not fit its head"),
+    ],
+)
+def test_altered_recipes_and_manifests_are_found(spark, docs, monkeypatch, name, change, says):
+    monkeypatch.setattr(ts, "MANIFEST_ROWS", 4)
+    path = ts.scratch_path(spark, "test-altered")
+    ts.write(docs([(i, f"some words {i} and " + "more " * 2500) for i in range(9)]), path)
+    rewritten(spark, path, name, change)
+    with pytest.raises(Exception, match=says):
+        (ts.checksums if name == "recipes" else ts.reconstruct)(spark, path).collect()
+
+
+def test_lost_objects_are_found(spark, docs):
+    path = ts.scratch_path(spark, "test-lost")
+    ts.write(docs([(1, "some words here"), (2, "others")]), path)
+    kept = ts.objects(spark, path).orderBy("address").limit(1).cache()
+    kept.count()
+    rewritten(spark, path, "parts", lambda d: d.where("kind = 'objects'").join(kept.select("address"), "address", "left_semi"))
+    for reader in (ts.checksums, ts.reconstruct):
+        with pytest.raises(Exception, match="is lost"):
+            reader(spark, path).collect()
+
+
+def test_files_are_in_ascending_order(spark, docs, monkeypatch):
+    monkeypatch.setattr(ts, "MANIFEST_ROWS", 64)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for coalesce in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        path = ts.scratch_path(spark, "test-order")
+        rows = [(i * 7919 % 1000, f"text {i} " * (i % 5)) for i in range(1000)] + [(77, "the same")] * 300
+        ts.write(docs(rows), path)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        read = spark.read.parquet(f"{path}/recipes").withColumn("f", F.input_file_name()).select("f", "block", "place", "key").collect()
+        files = {}
+        for r in read:
+            files.setdefault(r["f"].rsplit("/", 1)[1], []).append((r["block"], r["place"], r["key"]))
+        assert all(part == sorted(part) for part in files.values())
+        in_order = [x for name in sorted(files) for x in files[name]]
+        assert [k for *_, k in in_order] == sorted(k for k, _ in rows)
+        assert in_order == sorted(in_order)
+        if coalesce == "false":
+            assert len(files) > 10 and len({b for b, *_ in in_order}) == len(files)
+        got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in ts.checksums(spark, path).collect())
+        assert [s for s, *_ in got] == [sum(n for _, n, _ in got[:i]) for i in range(len(got))]
+        assert [k for *_, k in got] == sorted(k for k, _ in rows)
+
+
+def test_key_named_like_a_result(spark):
+    path = ts.scratch_path(spark, "test-names")
+    df = spark.createDataFrame([(5, "a b", 1), (4, "c" * 70_000, 2)], "start long, text string, block int")
+    ts.write(df, path, key="start")
+    assert [r["key"] for r in ts.checksums(spark, path, key="start").orderBy("start").collect()] == [4, 5]
+    assert ts.reconstruct(spark, path, key="start").columns == ["key", "start", "n_tokens", "token_ids"]
+
+
+def test_no_end_id(spark, docs):
+    path = ts.scratch_path(spark, "test-noend")
+    ts.write(docs([(1, ""), (2, "a b"), (3, None)]), path, end_id=None)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in ts.checksums(spark, path).collect()}
+    assert got == {1: (0, 0), 2: (0, 2), 3: (2, 0)}
+    assert {r["doc_id"]: len(r["token_ids"]) for r in ts.reconstruct(spark, path).collect()} == {1: 0, 2: 2, 3: 0}
+
+
 def test_damage_is_found(spark, docs):
     path = ts.scratch_path(spark, "test-damage")
     ts.write(docs([(1, "some words here"), (2, "others")]), path)
