@@ -6,12 +6,15 @@ rows. Counts come from one grouped aggregation over every row, by the language t
 aggregation gives how often each language is declared as what.
 
 The class ``und`` (trigrams equally likely) takes texts that no known language explains; ``accepted`` is false for it and
-for posteriors below ``SURE``. The text model learns from at most ``TRAIN_ROWS`` rows with a declared language, by hash order (a documented
-bound); scoring reads every whole text and counts cover all rows.
+for posteriors below ``SURE``. The text model learns from distinct texts with a declared language: all of a language with up to ``TRAIN_ROWS`` of
+them, about so many of a larger one, by the text's hash (a documented bound), so neither copies nor the table's size change which
+languages are learned. A text whose declaration the other texts' model contradicts teaches nothing (texts that together make up much of a
+language's sample are part of that language).
+Scoring reads every whole text and counts cover all rows.
 
 Edge cases: a text without letters (null, empty, digits) gives no text evidence, so it is ``und``; a missing declaration, suffix or host
 gives no evidence; hosts of one row lean on their suffix; repeated rows stay; an empty table gives an empty table; with no declared
-languages at all everything is ``und``.
+languages at all everything is ``und``; columns named like those that are added are an error, other columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, unit_hash
 
 UND = "und"
 SLOTS = 1 << 15
-TRAIN_ROWS = 4000
+#: Texts that a language is learned from, about.
+TRAIN_ROWS = 1000
 LEAST_ROWS = 3
 #: Neighbouring trigrams share letters, so each counts for a part only.
 TEMPER = 3.0
@@ -35,6 +39,8 @@ TEMPER = 3.0
 LEAN = 20.0
 SURE = 0.5
 BLOCK = 1 << 20
+SMOOTH = 0.05
+SEED = 5
 
 _KEEP = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -64,22 +70,32 @@ class TextModel:
 
 def fit(counts: dict[str, np.ndarray]) -> TextModel:
     languages = tuple(sorted(counts))
-    rows = [np.log((counts[x] + 0.05) / (counts[x].sum() + 0.05 * SLOTS)) for x in languages]
+    rows = [np.log((counts[x] + SMOOTH) / (counts[x].sum() + SMOOTH * SLOTS)) for x in languages]
     return TextModel(languages, np.vstack([*rows, np.full(SLOTS, -np.log(SLOTS))]))
 
 
-def train(df: DataFrame, text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Trigram counts of a bounded sample of declared rows: a table of ``SLOTS`` sums for each language reaches the driver."""
-    sample = df.where(F.col(declared).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(declared).alias("d"), F.col(text).alias("t"))
-    sample = sample.orderBy(F.xxhash64("t"), "d").limit(rows)
+def training_texts(df: DataFrame, text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+    """``d, t``: distinct texts of each declared language, about ``rows`` of a language with more. Only hashes of texts are shuffled to choose them."""
+    given = df.where(F.col(declared).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(declared).alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    known = materialise(given.select("d", "h").distinct(), "language-texts")
+    sizes = known.groupBy("d").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= LEAST_ROWS)
+    chosen = materialise(known.join(sizes, "d").where(unit_hash(F.lit(SEED), F.col("h")) * F.col("of") < rows).select("d", "h"), "language-chosen")
+    # about ``rows`` pairs of each language: small, but only Spark's own threshold decides on a broadcast, as languages are whatever rows declare
+    return given.join(chosen, ["d", "h"]).groupBy("d", "h").agg(F.first("t").alias("t")).select("d", "t")
+
+
+def _sums(sample: DataFrame, keep) -> dict[str, np.ndarray]:
+    """Trigram counts of each language over the texts that ``keep`` (of a declaration and a text's slots) accepts: ``SLOTS`` sums for each language reach the driver."""
 
     def run(batches):
         found: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[d] = found.get(d, 0) + np.bincount(trigrams(t), minlength=SLOTS)
-                docs[d] = docs.get(d, 0) + 1
+                slots = trigrams(t)
+                if keep(d, slots):
+                    found[d] = found.get(d, 0) + np.bincount(slots, minlength=SLOTS)
+                    docs[d] = docs.get(d, 0) + 1
         for d, n in found.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([d] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs[d], *n[at].tolist()], pa.int64())], names=["d", "slot", "n"])
@@ -90,7 +106,25 @@ def train(df: DataFrame, text: str = "text", declared: str = "lang", rows: int =
         if int(part.loc[part.slot == -1, "n"].sum()) >= LEAST_ROWS:
             part = part[part.slot >= 0]
             counts[d] = np.bincount(part.slot, weights=part.n, minlength=SLOTS)
-    return fit(counts)
+    return counts
+
+
+def train(df: DataFrame, text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
+    """Trigram counts of a bounded sample of declared texts, without those that the rest of the sample contradicts."""
+    sample = materialise(training_texts(df, text, declared, rows), "language-sample")
+    counts = _sums(sample, lambda d, slots: len(slots) > 0)
+    sums = {d: n.sum() for d, n in counts.items()}
+
+    def agrees(d: str, slots: np.ndarray) -> bool:
+        """The declared language explains the text best, the text's own counts left out."""
+        if d not in counts or not len(slots):
+            return False
+        at, own = np.unique(slots, return_counts=True)
+        best = -np.log(SLOTS) * len(slots)
+        score = {x: float((own * np.log((n[at] - (own if x == d else 0) + SMOOTH) / (sums[x] - (len(slots) if x == d else 0) + SMOOTH * SLOTS))).sum()) for x, n in counts.items()}
+        return score[d] >= max(best, *score.values())
+
+    return fit(_sums(sample, agrees))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:

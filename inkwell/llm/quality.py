@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     marks = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).alias("y"))
     chosen = marks.orderBy(F.xxhash64(F.col(key)), key).limit(rows)
     feature_rows = F.pandas_udf(lambda s: s.map(features), "array<double>")
-    got = docs.select(key, text).join(chosen, key).select("y", feature_rows(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.col(key).alias("k")).orderBy("k", F.hash("x")).limit(2 * rows).toPandas()
+    # ``rows`` keys at most: broadcasting is safe, and texts are not shuffled
+    picked = docs.select(key, text).join(F.broadcast(chosen), key)
+    got = picked.select("y", feature_rows(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.col(key).alias("k")).orderBy("k", F.hash("x")).limit(rows).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got["x"].map(np.asarray).tolist()), got["y"].to_numpy())

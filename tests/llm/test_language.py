@@ -39,6 +39,24 @@ def test_identifies_and_rejects(spark, docs, rows):
     assert got[904]["language"] == "de" and got[903]["language"] == lid.UND
 
 
+def test_rare_languages_and_copies(docs, rows):
+    """Every declared language is learned, however many copies another has; the sample has each text once."""
+    rng = random.Random(4)
+    many = [(1000 + i, prose("en", 30, rng) if i % 3 else "the same and the same which", "en", None, None) for i in range(3000)]
+    rare = [(9000 + i, prose("de", 30, rng), "de", None, None) for i in range(5)]
+    df = docs(many + rare + [(9100, prose("fr", 20, rng), "fr", None, None)])
+    sample = [(r["d"], r["t"]) for r in lid.training_texts(df, rows=100).collect()]
+    assert len(sample) == len(set(sample)) and 60 < sum(d == "en" for d, _ in sample) < 140 and sum(d == "de" for d, _ in sample) == 5
+    assert lid.train(df, rows=100).languages == ("de", "en")
+
+
+def test_wrong_declarations_teach_nothing(docs, rows):
+    foreign = [(2000, "шшш ццц жжж щщщ ыыы эээ " * 9, "en", None, None), (2001, "ωωω ψψψ ξξξ φφφ " * 5, "en", None, None), (2002, "日本語 文字" * 9, "fr", None, None)]
+    swapped = [(3000, prose("de", 40, random.Random(1)), "en", None, None)]
+    plain, mixed = lid.train(docs(rows)), lid.train(docs(rows + foreign + swapped))
+    assert plain.languages == mixed.languages and np.allclose(plain.logs, mixed.logs)
+
+
 def test_matches_brute_force(spark, docs, rows):
     model = lid.train(docs(rows))
     odd = [(900, "le the", "fr", "host-fr", 0), (901, "under unter", None, "host-de", 0), (902, "sous", "de", None, 0)]
