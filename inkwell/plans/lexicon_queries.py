@@ -173,13 +173,13 @@ def contractions_static(spark, sf_dir):
     return words_of(spark, sf_dir).join(F.broadcast(dims.contractions(spark)), "word").groupBy("word", "fixed").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Contractions are made from the corpus: an apostrophe goes in after the third letter of some words.
-_APOSTROPHES = "made AS MATERIALIZED (SELECT DISTINCT left(word, 3) || '''' || substr(word, 4) AS word FROM words WHERE length(word) BETWEEN 6 AND 9 AND word LIKE 't%')"
+# Contractions are made from the corpus: an apostrophe goes in after the third letter of every longer word.
+_APOSTROPHES = "made AS MATERIALIZED (SELECT DISTINCT left(word, 3) || '''' || substr(word, 4) AS word FROM words WHERE length(word) >= 4)"
 
 
 @query("contractions_derived", f"WITH {WORDS}, {DICT}, {_APOSTROPHES} SELECT bare AS word, min(word) AS fixed FROM (SELECT replace(word, '''', '') AS bare, word FROM made WHERE NOT word LIKE '%''s') WHERE length(bare) >= 3 AND bare NOT IN (SELECT word FROM dict) GROUP BY bare HAVING count(DISTINCT word) = 1")
 def contractions_derived(spark, sf_dir):
-    words = words_of(spark, sf_dir).where("length(word) between 6 and 9 and word like 't%'").select(F.concat(F.substring("word", 1, 3), F.lit("'"), F.expr("substring(word, 4)")).alias("word"))
+    words = words_of(spark, sf_dir).where("length(word) >= 4").select(F.concat(F.substring("word", 1, 3), F.lit("'"), F.expr("substring(word, 4)")).alias("word"))
     return known.derived_contractions(known.tables(spark, dictionary=dictionary(spark, sf_dir), lexicon=words))
 
 
@@ -244,7 +244,7 @@ _SETS = f"sets AS (SELECT * FROM (VALUES {dims.sql_values([(w, a, i) for s in di
 _BI = f"bi AS MATERIALIZED (SELECT gram, count(*) AS c FROM ({sql.grams(2, '1')}) GROUP BY gram)"
 # Confusable words barely occur in invented prose, so frequent words stand in for them.
 _SWAPPED = "swapped AS MATERIALIZED (SELECT doc_id, line, pos, CASE word WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE word END AS word, CASE prev WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE prev END AS prev, CASE next WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE next END AS next FROM near)"
-_EVIDENCE = """bigrams AS MATERIALIZED (SELECT gram, sum(n)::BIGINT AS c FROM (SELECT prev || ' ' || word AS gram, count(*) AS n FROM swapped WHERE prev IS NOT NULL GROUP BY 1 UNION ALL SELECT prev || ' ' || CASE word WHEN 'then' THEN 'than' WHEN 'form' THEN 'from' ELSE 'through' END, count(*) * 3 FROM swapped WHERE word IN ('then', 'form', 'though') AND doc_id % 2 = 0 AND prev IS NOT NULL GROUP BY 1) GROUP BY gram),
+_EVIDENCE = """bigrams AS MATERIALIZED (SELECT gram, sum(n)::BIGINT AS c FROM (SELECT prev || ' ' || word AS gram, count(*) AS n FROM swapped WHERE prev IS NOT NULL GROUP BY 1 UNION ALL SELECT prev || ' ' || CASE word WHEN 'then' THEN 'than' WHEN 'form' THEN 'from' ELSE 'through' END, count(*) * 3 FROM swapped WHERE word IN ('then', 'form', 'though') AND prev IS NOT NULL GROUP BY 1) GROUP BY gram),
 opts AS (SELECT DISTINCT doc_id, line, pos, s.word, prev, next, unnest([-1, place]) AS place, unnest([s.word, alternative]) AS option FROM swapped s JOIN sets ON s.word = sets.word),
 scores AS (SELECT doc_id, line, pos, o.word, place, option, (coalesce(a.c, 0) + coalesce(b.c, 0))::BIGINT AS score FROM opts o LEFT JOIN bigrams a ON a.gram = o.prev || ' ' || o.option LEFT JOIN bigrams b ON b.gram = o.option || ' ' || o.next),
 evidence AS (SELECT doc_id, line, pos, word, arg_max(option, score * 10 + place) FILTER (place >= 0) AS suggestion, max(score) FILTER (place < 0) AS written_evidence, max(score) FILTER (place >= 0) AS suggested_evidence FROM scores GROUP BY 1, 2, 3, 4)"""
@@ -261,7 +261,7 @@ def swapped_bigrams(rows):
     held = rows.where("prev is not null")
     own = held.groupBy(F.concat_ws(" ", "prev", "word").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     right = F.when(F.col("word") == "then", "than").when(F.col("word") == "form", "from").otherwise("through")
-    more = held.where("word in ('then', 'form', 'though') and doc_id % 2 = 0").groupBy(F.concat_ws(" ", F.col("prev"), right).alias("gram")).agg((F.count(F.lit(1)) * 3).alias("n"))
+    more = held.where("word in ('then', 'form', 'though')").groupBy(F.concat_ws(" ", F.col("prev"), right).alias("gram")).agg((F.count(F.lit(1)) * 3).alias("n"))
     return own.unionByName(more).groupBy("gram").agg(F.sum("n").alias("count"))
 
 
@@ -287,21 +287,34 @@ _CUE_BI = "bigrams AS MATERIALIZED (SELECT prev || ' ' || word AS gram, count(*)
 _MEMBERS = f"members AS (SELECT * FROM (VALUES {dims.sql_values([(w, i) for i, s in enumerate(dims.CONFUSION_SETS) for w in s])}) v(word, s))"
 
 
-@query(
-    "derive_cues",
-    f"""WITH {WORDS}, {_NEAR}, {_SWAPPED}, {_CUE_BI}, {DICT}, {_MEMBERS}, p AS (SELECT split_part(gram, ' ', 1) AS a, split_part(gram, ' ', 2) AS b, c FROM bigrams),
+_CUE_TABLES = f"""{WORDS}, {_NEAR}, {_SWAPPED}, {_CUE_BI}, {DICT}, {_MEMBERS}, p AS (SELECT split_part(gram, ' ', 1) AS a, split_part(gram, ' ', 2) AS b, c FROM bigrams),
 ctx AS (SELECT 'before' AS position, a AS cue, b AS word, c FROM p UNION ALL SELECT 'after', b, a, c FROM p),
 r AS (SELECT position, cue, m.word, c, coalesce(lead(c) OVER w, 0) AS runner, row_number() OVER w AS i FROM ctx JOIN members m ON ctx.word = m.word WHERE cue IN (SELECT word FROM dict) WINDOW w AS (PARTITION BY position, cue, s ORDER BY c DESC, m.word DESC)),
-g AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY c DESC, position, cue) AS k FROM r WHERE i = 1 AND c >= 3 AND c / (runner + 1.0::DOUBLE) >= 2)
-SELECT position, cue, word, c AS count, least(round(c / (runner + 1.0::DOUBLE)), 99999.0::DOUBLE) AS margin FROM g WHERE k <= 24""",
-)
+g AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY c DESC, position, cue) AS k FROM r WHERE i = 1 AND c >= 3 AND c / (runner + 1.0::DOUBLE) >= 2)"""
+_CUES = "SELECT position, cue, word, c AS count, least(round(c / (runner + 1.0::DOUBLE)), 99999.0::DOUBLE) AS margin FROM g WHERE k <= 24"
+
+
+@query("derive_cues", f"WITH {_CUE_TABLES} {_CUES}")
 def derive_cues(spark, sf_dir):
     rows = swapped(spark, sf_dir).where("prev is not null")
     bigrams = rows.groupBy(F.concat_ws(" ", "prev", "word").alias("gram")).agg(F.count(F.lit(1)).alias("count"))
     return realword.derive_cues(bigrams, dictionary(spark, sf_dir), min_count=3, ratio=2.0)
 
 
-@query("cue_findings", None)
+_FLIPPED = "CASE word WHEN 'then' THEN 'than' WHEN 'form' THEN 'from' ELSE 'through' END"
+_SCALE = "least(greatest(log10(greatest(margin, 150.0::DOUBLE) / 150.0::DOUBLE) / log10(100000.0::DOUBLE / 150.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE)"
+
+
+@query(
+    "cue_findings",
+    f"""WITH {_CUE_TABLES}, {_SETS}, cues AS ({_CUES}),
+flip AS (SELECT position, cue, {_FLIPPED} AS picked, margin * 100 AS margin FROM cues),
+sides AS (SELECT doc_id, line, pos, word, 0 AS side, 'before' AS position, prev AS cue FROM swapped WHERE prev IS NOT NULL UNION ALL SELECT doc_id, line, pos, word, 1, 'after', next FROM swapped WHERE next IS NOT NULL),
+met AS (SELECT d.doc_id, d.line, d.pos, d.word, d.side, bool_or(f.picked = d.word) AS stop, bool_or(s.word IS NOT NULL) AS able, arg_max(f.picked, f.margin) FILTER (s.word IS NOT NULL) AS suggestion, max(f.margin) FILTER (s.word IS NOT NULL) AS margin
+ FROM (SELECT * FROM sides WHERE word IN (SELECT word FROM sets)) d JOIN flip f USING (position, cue) LEFT JOIN sets s ON s.word = d.word AND s.alternative = f.picked GROUP BY 1, 2, 3, 4, 5),
+turns AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, pos ORDER BY side) AS turn FROM met WHERE stop OR able)
+SELECT doc_id, line, pos, word, suggestion, {sql.rounded(f"(0.50::DOUBLE + 0.30::DOUBLE * {_SCALE})", 2)} AS confidence FROM turns WHERE turn = 1 AND NOT stop""",
+)
 def cue_findings(spark, sf_dir):
     rows = swapped(spark, sf_dir)
     none = spark.createDataFrame([], "gram string, count long")
@@ -345,7 +358,9 @@ def checker_tables(spark, sf_dir):
 
 
 def people(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), (F.col("n_nationkey") % 9).cast("long").alias("days"), F.initcap("n_name").alias("display"))
+    """Customers and suppliers are the people; their numbers stand for the days they were seen on."""
+    parties = read(spark, sf_dir, "customer").selectExpr("c_name AS n", "c_custkey AS k").unionByName(read(spark, sf_dir, "supplier").selectExpr("s_name AS n", "s_suppkey AS k"))
+    return parties.groupBy(F.lower("n").alias("name")).agg((F.max("k") % 9).cast("long").alias("days"), F.min("n").alias("display"))
 
 
 def _flat(rows):
@@ -363,7 +378,26 @@ def findings_pages(spark, sf_dir):
     return _flat(findings.findings(pages, checker_tables(spark, sf_dir), key="page_id"))
 
 
-@query("eval_injections", None)
+def _draw(use, n):
+    return f"(('0x' || substr(md5(concat_ws('|', '1', item_id::VARCHAR, line::VARCHAR, '{use}')), 1, 8))::BIGINT % greatest({n}, 1))"
+
+
+_LETTERS_OF = "regexp_replace(t, '[^A-Za-z]', '', 'g')"
+_CHECKABLE = f"length(t) >= 3 AND regexp_matches(t, '^[A-Za-z''-]+$') AND regexp_matches({_LETTERS_OF}, '[a-z]') AND NOT regexp_matches({_LETTERS_OF}, '^[A-Z]{{2,}}s$') AND NOT regexp_matches({_LETTERS_OF}, '[a-z][A-Z]')"
+_OPTIONS = "MAP {" + ", ".join(f"'{w}': {v}" for w, v in evaluate.OPTIONS.items()) + "}"
+_NEAR_KEYS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in dims.NEIGHBOURS.items()) + "}"
+_INJECTED = f"""{sql.lines("benchmark", "item_id")},
+drawn AS (SELECT item_id, line, raw, list_filter({sql.tokens("raw")}, lambda t: {_CHECKABLE}) AS ts FROM lines WHERE {sql.prose("raw")}),
+picked AS (SELECT item_id, line, raw, ts[{_draw("word", "len(ts)")} + 1] AS original FROM drawn WHERE len(ts) > 0),
+planned AS (SELECT *, lower(original) AS w, {_OPTIONS}[lower(original)] AS others, {list(evaluate.SLIPS)}[{_draw("kind", 4)} + 1] AS slip, strpos(raw, original) AS place FROM picked),
+placed AS (SELECT *, others IS NOT NULL AND {_draw("real", 2)} = 0 AS swap, {_draw("at", "CASE WHEN slip = 'transposition' THEN length(w) - 1 ELSE length(w) END")} AS i FROM planned),
+keyed AS (SELECT *, {_NEAR_KEYS}[substr(w, i + 1, 1)] AS keys FROM placed),
+made AS (SELECT *, CASE WHEN swap THEN others[{_draw("option", "len(others)")} + 1] WHEN length(w) < 4 THEN NULL WHEN slip = 'transposition' THEN left(w, i) || substr(w, i + 2, 1) || substr(w, i + 1, 1) || substr(w, i + 3) WHEN slip = 'deletion' THEN left(w, i) || substr(w, i + 2)
+ WHEN slip = 'insertion' THEN left(w, i) || substr(w, i + 1, 1) || substr(w, i + 1) ELSE left(w, i) || substr(keys, {_draw("near", "length(keys)")} + 1, 1) || substr(w, i + 2) END AS mutated FROM keyed),
+injected AS (SELECT item_id, line, original, mutated, CASE WHEN swap THEN 'real-word' ELSE slip END AS kind FROM made WHERE mutated IS NOT NULL AND mutated <> w AND NOT regexp_matches(CASE WHEN place > 1 THEN substr(raw, place - 1, 1) ELSE '' END || substr(raw, place + length(original), 1), '[\\p{{L}}\\p{{N}}]'))"""
+
+
+@query("eval_injections", f"WITH {_INJECTED} SELECT item_id, line::INT AS line, original, mutated, kind FROM injected")
 def eval_injections(spark, sf_dir):
     rows = evaluate.injected(read(spark, sf_dir, "benchmark"), key="item_id", rate=1)
     return rows.select("item_id", F.explode("injections").alias("x")).select("item_id", "x.*")
@@ -409,13 +443,19 @@ def ingest_records(spark, sf_dir):
     return rows.groupBy("authored_by", "register").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
+_PARTIES = "p AS MATERIALIZED (SELECT DISTINCT lower(c_name) AS name FROM customer UNION SELECT DISTINCT lower(s_name) FROM supplier)"
+_ONE_LESS_OF = "unnest(list_distinct(list_concat([{0}], list_transform(range(1, length({0})::BIGINT + 1), lambda i: left({0}, i - 1) || substr({0}, i + 1)))))"
+
+
 @query(
     "name_matches",
-    """WITH p AS (SELECT lower(n_name) AS name FROM nation), c AS (SELECT DISTINCT left(name, length(name) - 1) AS candidate FROM p UNION SELECT DISTINCT substr(name, 2) FROM p)
-SELECT candidate, min(name) AS name, count(*) AS matches FROM c JOIN p ON damerau_levenshtein(candidate, name) <= 1 WHERE length(candidate) >= 4 AND candidate NOT IN (SELECT name FROM p) GROUP BY candidate HAVING count(*) = 1""",
+    f"""WITH {_PARTIES}, c AS MATERIALIZED (SELECT DISTINCT left(name, length(name) - 1) AS candidate FROM p UNION SELECT DISTINCT substr(name, 2) FROM p), a AS (SELECT candidate, {_ONE_LESS_OF.format('candidate')} AS k FROM c), b AS (SELECT name, {_ONE_LESS_OF.format('name')} AS k FROM p),
+m AS (SELECT DISTINCT candidate, name FROM a JOIN b USING (k))
+SELECT candidate, min(name) AS name, count(*) AS matches FROM m WHERE damerau_levenshtein(candidate, name) <= 1 AND length(candidate) >= 4 AND candidate NOT IN (SELECT name FROM p) GROUP BY candidate HAVING count(*) = 1""",
 )
 def name_matches(spark, sf_dir):
-    names = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("word"))
+    """Names of customers and suppliers with a letter lost at either end, and the only person each can be."""
+    names = people(spark, sf_dir).select(F.col("name").alias("word"))
     short = names.select(F.expr("left(word, length(word) - 1)").alias("word")).union(names.select(F.expr("substring(word, 2)")))
     asked = short.where(F.length("word") >= dims.MIN_NAME_LENGTH).distinct().join(names, "word", "left_anti")
     near = suggest.within(asked, names, 1).groupBy("word").agg(F.min("other").alias("name"), F.count(F.lit(1)).alias("matches"))

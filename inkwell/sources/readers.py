@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators.ingest import RECORD, records
 
 SKIPPED_FOLDERS = ("node_modules", "vendor", "target", "dist", "build", "tmp", ".git", ".venv")
-FILES_PER_REPOSITORY, CHARS_PER_FILE, DEPTH = 60, 200_000, 3
+FILES_PER_REPOSITORY, BYTES_PER_FILE, DEPTH = 60, 200_000, 3
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,84 +45,78 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.coalesce(F.from_json("value", schema), F.from_json(F.lit("{}"), schema)).alias("p")).select("p.*")
 
 
-def _transcript(text: str) -> list[dict]:
-    """Messages of a chat transcript: blocks of ``From:``, ``Message_ts:`` and ``Text:`` lines, ended by rules and headings."""
-    done: list[dict] = []
-    who = name = key = None
-    body: list[str] | None = None
-
-    def close() -> None:
-        joined = "\n".join(body or []).strip()
-        if who is not None and body is not None and joined:
-            done.append({"source_key": key or f"slack:{joined[:80]}", "author": who, "display": name or who, "register": "slack", "body": joined})
-
-    for line in text.splitlines():
-        t = line.strip()
-        if t.startswith("From:"):
-            close()
-            body, rest = None, t[5:]
-            name = rest.split("<")[0].strip() or None
-            _, found, after = rest.partition("(ID:")
-            ident = after.split(")")[0].strip() if found else ""
-            who = ident or next(iter(rest.split()), None)
-        elif t.startswith("Message_ts:"):
-            key = "slack:" + t[11:].strip()
-        elif t.startswith("Text:"):
-            first = t[5:].strip()
-            body = [first] if first else []
-        elif t == "---" or t.startswith("### "):
-            close()
-            who = name = key = body = None
-        elif body is not None:
-            body.append(line)
-    close()
-    return done
-
-
 MESSAGE = "source_key string, author string, display string, register string, body string"
+#: A rule or a heading ends a message, and so does the next one's ``From:`` line.
+_BETWEEN = r"(?m)^[ \t]*(?:---[ \t]*$|###[ ].*$)|(?m)(?=^[ \t]*From:)"
 
 
-def transcripts(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Messages of chat transcripts, one row each."""
+def _label(block: Column, name: str) -> Column:
+    """The rest of a block's line that begins with a label; empty where there is none."""
+    return F.trim(F.regexp_extract(block, rf"(?m)^[ \t]*{name}:[ \t]*(.*)$", 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([m for t in batch[column].dropna() for m in _transcript(t)], columns=[c.split(" ")[0] for c in MESSAGE.split(", ")])
 
-    return rows.select(column).mapInPandas(run, MESSAGE)
-
-
-def _walk(value, out: list[dict]) -> None:
-    if isinstance(value, list):
-        for x in value:
-            _walk(x, out)
-    elif isinstance(value, dict):
-        who = next((v["login"] for v in (value.get("user"), value.get("author")) if isinstance(v, dict) and isinstance(v.get("login"), str)), None)
-        body = value.get("body")
-        if who and isinstance(body, str) and body.strip():
-            url = value.get("html_url") or value.get("url")
-            out.append({"source_key": url if isinstance(url, str) else f"gh:{body.strip()[:80]}", "author": who, "display": who, "register": "pr", "body": body.strip()})
-        for x in value.values():
-            _walk(x, out)
+def transcripts(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Messages of chat transcripts, one row each: blocks with ``From:``, ``Message_ts:`` and ``Text:`` lines. A transcript may be the ``results`` of a JSON object.
+
+    An author is the ID in brackets, else the first word of the name; messages without a time are known by how they begin.
+    """
+    text = F.when(F.ltrim(column).startswith("{"), F.coalesce(F.get_json_object(column, "$.results"), F.col(column))).otherwise(F.col(column))
+    blocks = rows.select(F.explode(F.split(F.regexp_replace(text, "\r\n?", "\n"), _BETWEEN)).alias("block"))
+    who, when = _label(F.col("block"), "From"), _label(F.col("block"), "Message_ts")
+    said = F.regexp_extract("block", r"(?s)^(?:.*\n)?[ \t]*Text:(.*)$", 1)
+    body = F.regexp_replace(F.regexp_replace(said, r"(?m)^[ \t]*Message_ts:.*\n?", ""), r"^\s+|\s+$", "")
+    ident, first, shown = F.trim(F.regexp_extract(who, r"\(ID:([^)]*)", 1)), F.regexp_extract(who, r"^(\S*)", 1), F.trim(F.regexp_extract(who, r"^([^<]*)", 1))
+    author = F.when(ident != "", ident).otherwise(first)
+    key = F.concat(F.lit("slack:"), F.when(when != "", when).otherwise(F.substring(body, 1, 80)))
+    found = blocks.select(key.alias("source_key"), author.alias("author"), F.when(shown != "", shown).otherwise(author).alias("display"), F.lit("slack").alias("register"), body.alias("body"))
+    return found.where("author <> '' and body <> ''")
+
+
+def _objects(value) -> Iterator[dict]:
+    """Every object inside a JSON value, the outer ones first; no recursion, so depth doesn't matter."""
+    waiting = deque([value])
+    while waiting:
+        now = waiting.popleft()
+        if isinstance(now, dict):
+            yield now
+            waiting.extend(now.values())
+        elif isinstance(now, list):
+            waiting.extend(now)
+
+
+def _comment(thing: dict) -> tuple | None:
+    """A message of an object that has a body and someone's login. It is known by its page, its address, its id, or how it begins."""
+    body, by = thing.get("body"), thing["user"] if "user" in thing else thing.get("author")
+    login = by.get("login") if isinstance(by, dict) else None
+    if not isinstance(login, str) or not isinstance(body, str) or not body.strip():
+        return None
+    page = thing["html_url"] if "html_url" in thing else thing.get("url")
+    if not isinstance(page, str):
+        page = "gh:" + (json.dumps(thing["id"]) if "id" in thing else body[:80])
+    return page, login, login, "pr", body
+
+
+def _parsed(text: str):
+    """A JSON text's value; where that is a string, or an object's ``stdout``, what it holds in turn. None for what is no JSON."""
+    try:
+        value = json.loads(text)
+        while isinstance(inner := value.get("stdout") if isinstance(value, dict) else value, str):
+            value = json.loads(inner.strip())
+        return value
+    except (ValueError, RecursionError):
+        return None
 
 
 def comments(rows: DataFrame, column: str = "json") -> DataFrame:
-    """Objects with a body and a login at any depth of JSON texts; a ``stdout`` string is JSON of its own."""
+    """Messages of JSON texts: objects with a body and a login at any depth."""
+    names = [c.split(" ")[0] for c in MESSAGE.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            for text in batch[column].dropna():
-                try:
-                    value = json.loads(text)
-                    if isinstance(value, dict) and isinstance(value.get("stdout"), str):
-                        value = json.loads(value["stdout"])
-                except ValueError:
-                    continue
-                _walk(value, out)
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in MESSAGE.split(", ")])
+            found = [m for t in batch.column(0).drop_null().to_pylist() for x in _objects(_parsed(t)) if (m := _comment(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in found], pa.string()) for i in range(len(names))], names=names)
 
-    return rows.select(column).mapInPandas(run, MESSAGE)
+    return rows.select(column).mapInArrow(run, MESSAGE)
 
 
 def repositories(root: str, depth: int = DEPTH) -> list[str]:
@@ -142,9 +137,9 @@ def repositories(root: str, depth: int = DEPTH) -> list[str]:
 
 
 def markdown(spark: SparkSession, repository: str) -> DataFrame:
-    """``path, text`` of a repository's Markdown files: the first by path, each cut after so many characters."""
+    """``path, text`` of a repository's Markdown files: the first by path, each cut after so many bytes (a character that is cut there goes)."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(repository, wholetext=True)
-    rows = files.select(F.regexp_replace(F.input_file_name(), f"^.*?{os.path.basename(repository)}/", "").alias("path"), F.substring("value", 1, CHARS_PER_FILE).alias("text"))
+    rows = files.select(F.regexp_replace(F.input_file_name(), f"^.*?{os.path.basename(repository)}/", "").alias("path"), F.when(F.octet_length("value") <= BYTES_PER_FILE, F.col("value")).otherwise(F.regexp_replace(F.decode(F.substring(F.encode("value", "UTF-8"), 1, BYTES_PER_FILE), "UTF-8"), "\ufffd$", "")).alias("text"))
     near = (F.size(F.split("path", "/")) <= DEPTH + 1) & ~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED_FOLDERS))
     return rows.where(near).orderBy("path").limit(FILES_PER_REPOSITORY)
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own is made and set where that is empty, as in tests on one machine."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own is made and set where that is empty and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

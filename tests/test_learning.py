@@ -124,6 +124,10 @@ def test_readers(spark, tmp_path):
     blob = json.dumps([{"body": "hey", "user": {"login": "a"}, "html_url": "u1", "replies": [{"body": "yo", "author": {"login": "b"}}]}])
     got = readers.comments(spark.createDataFrame([(blob,), (json.dumps({"stdout": blob}),), ("bad",)], "json string")).collect()
     assert sorted((r["author"], r["source_key"]) for r in got) == [("a", "u1"), ("a", "u1"), ("b", "gh:yo"), ("b", "gh:yo")]
+    more = [json.dumps(json.dumps([{"body": " as a string ", "user": {"login": "c"}, "id": 7}])), json.dumps([{"body": "  ", "user": {"login": "c"}}, {"body": "x", "user": None}]), '{"stdout": "total 12"}', "[" * 3000 + "]" * 3000, '"not json"']
+    assert [tuple(r) for r in readers.comments(spark.createDataFrame([(m,) for m in more], "json string")).collect()] == [("gh:7", "c", "c", "pr", " as a string ")]
+    wrapped = spark.createDataFrame([(json.dumps({"results": "From: Bo (ID: U9)\nText: a\n\nb\n"}),), ("From:\nText: nobody",)], "text string")
+    assert [(r["author"], r["body"], r["source_key"]) for r in readers.transcripts(wrapped).collect()] == [("U9", "a\n\nb", "slack:a\n\nb")]
     files = [("r/Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1"\n# no = 1\n"quoted" = "2"\n[dev-dependencies]\ntempfile = "3"\n[profile]\nlto = true'), ("r/Gemfile", "gem 'rails'\n  gem \"puma\", '1'\n# gem 'no'"), ("r/package.json", '{"dependencies":{"@scope/name":"1"},"devDependencies":{"vite":"2"},"other":{"no":1}}')]
     assert {r[0] for r in readers.manifest_terms(spark.createDataFrame(files, "path string, text string")).collect()} == {"serde", "quoted", "tempfile", "rails", "puma", "scope/name", "vite"}
     urls = spark.createDataFrame([("  url = git@github.com:me/tool.git",), ("url = https://github.com/me/other",), ("name = x",)], "line string")
