@@ -36,6 +36,23 @@ def removed_word(lexicon: DataFrame, registers: DataFrame, word: str) -> tuple[D
     return left, registers.join(left.select("word"), "word", "left_semi")
 
 
+def removed_phrase(grams: DataFrame, phrase: str) -> DataFrame:
+    """Gram counts without a phrase, in every register."""
+    return grams.where(F.col("gram") != phrase)
+
+
+def added_words(lexicon: DataFrame, words: DataFrame) -> DataFrame:
+    """The lexicon with words that the user vouches for: they are theirs from now on, whatever they were."""
+    mine = words.select(tx.normalise(F.trim("word")).alias("word")).where("word <> ''").distinct()
+    others = lexicon.select("word", "provenance").join(mine, "word", "left_anti")
+    return others.unionByName(mine.withColumn("provenance", F.lit("user")))
+
+
+def counts_without_names(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """Word counts of own vocabulary: names of things one works on say nothing about it."""
+    return counts.join(names.select("word").distinct(), "word", "left_anti")
+
+
 def exportable(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Entries with a provenance above observed or two documents, that the dictionary lacks."""
     return entries.where((F.col("provenance") != "observed") | (F.col("sources") >= 2)).join(dictionary.select("word"), "word", "left_anti")
