@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table
 
 #: Bounds of a bucket's bytes, and the part of a task's memory that it may take: its rows are held a few times over.
-LEAST_BUCKET, MOST_BUCKET, MEMORY_PART = 8 << 20, 256 << 20, 16
+LEAST_BUCKET, MOST_BUCKET, MEMORY_PART = 8 << 20, 256 << 20, 96
 SEED = 20_240_601
 GROUP = 1 << 10
 
