@@ -115,5 +115,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 def appears_bounded(hay: Column, needle: Column) -> Column:
     """Whether a handle occurs with no handle character on either side."""
     edge = F.lit(r"[A-Za-z0-9.@_\-]")
-    pattern = F.concat(F.lit("(?<!"), edge, F.lit(r")\Q"), needle, F.lit(r"\E(?!"), edge, F.lit(")"))
+    # a quotation's own end mark inside the handle is quoted by itself
+    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit("(?<!"), edge, F.lit(r")\Q"), quoted, F.lit(r"\E(?!"), edge, F.lit(")"))
     return (needle != "") & F.regexp_like(hay, pattern)

@@ -136,3 +136,8 @@ def test_distance(spark, pairs):
 def test_near_words_share_a_key(spark, pairs):
     frame = spark.createDataFrame([(a, b) for a, b in pairs if plain_osa(a, b) <= 2], "a string, b string")
     assert frame.where(~F.arrays_overlap(delete_keys(F.col("a")), delete_keys(F.col("b")))).count() == 0
+
+
+def test_handles_with_quotation_marks(spark):
+    rows = spark.createDataFrame([("by a\\Eb!", "a\\Eb"), ("by xa\\Eb!", "a\\Eb"), ("by [z](", "[z]("), ("by a", "")], "hay string, needle string")
+    assert [r[0] for r in rows.select(tx.appears_bounded(F.col("hay"), F.col("needle"))).collect()] == [True, False, True, False]
