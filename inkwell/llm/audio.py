@@ -5,23 +5,29 @@ image of frames by pitch classes, each a few look-ups in its integral image, com
 bits and sixteen make a packed 32-bit integer for each frame position.
 
 Alignment: recordings with equal fingerprints form a class. A stated set of queries is held against all classes, in blocks of a bounded
-size: a block's index of upper ``KEY_BITS`` bits (runs of one value count once) goes to every task, each recording looks its own up, equal keys
-vote for an offset, and the fullest offset of each query is verified by the share of differing bits over the whole overlap.
+size. A block's index of both halves of its integers (a run of one value counts once) goes to every task; each recording looks its own
+halves up, equal halves vote for an offset, and every offset with a vote is verified by the share of differing bits over the whole overlap. At
+``MOST_ERRORS`` independent errors a position gives a vote with probability 0.14, so 25 positions are missed altogether with 0.02. Where either
+recording has ``SHORT`` positions or fewer, every offset is tried instead. Votes are expanded ``CHUNK`` at a time: a key that is common in
+both costs time, not memory. Each block's links are written before the next block is collected.
 
 Edge cases: null, empty, silent or too short recordings have an empty fingerprint and form one class without links; an odd last byte is
-ignored; repeated rows share a class; an empty table gives an empty table.
+ignored; repeated rows share a class; a row without a key takes the class of its fingerprint; other columns are not read; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, scratch_path, table
 
 RATE = 4000
 FRAME = 512
@@ -30,8 +36,9 @@ SPAN = 16  # frames under a filter
 PITCHES = 12
 LOWEST, HIGHEST = 55.0, 1760.0
 SILENCE = 1e-3
-KEY_BITS = 24
-LEAST_VOTES = 2
+KEY_BITS = 16  # two halves of each integer
+SHORT = 24
+CHUNK = 1 << 20
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 0.5
 QUERY_STEP = 100
@@ -148,31 +155,63 @@ def align(prints: DataFrame, key: str, is_query) -> tuple[DataFrame, DataFrame]:
     asked = classes.where("query")
     size = asked.agg(F.sum(F.octet_length("fp"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * BLOCK_POSITIONS)))
-    links = None
+    path = scratch_path(classes.sparkSession, "audio-links")
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == block).select("cid", "fp").collect()
-        found = _against(classes, rows)
-        links = found if links is None else links.unionByName(found)
-    return classes.drop("fp"), links
+        held = classes.sparkSession.sparkContext.broadcast(Block.of(rows))
+        _against(classes, held).write.mode("append").parquet(path)
+        held.destroy()
+    return classes.drop("fp"), classes.sparkSession.read.schema(LINK).parquet(path)
 
 
 LINK = "one long, other long, offset int, votes int, bit_errors double"
 
 
-def _against(classes: DataFrame, rows: list) -> DataFrame:
-    """Links between one block of queries and all classes; the block's index, of a bounded size, goes to every task."""
-    cids = np.array([r["cid"] for r in rows], dtype=np.int64)
-    prints = [np.frombuffer(bytes(r["fp"]), dtype="<u4") for r in rows]
-    held = classes.sparkSession.sparkContext.broadcast((cids, prints, _index(prints)))
+class Block(NamedTuple):
+    """Queries of one block as arrays."""
+
+    cids: np.ndarray
+    prints: list[np.ndarray]
+    index: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    short: np.ndarray
+    track: Track
+
+    @classmethod
+    def of(cls, rows: list) -> Block:
+        prints = [np.frombuffer(bytes(r["fp"]), dtype="<u4") for r in rows]
+        short = np.array([i for i, x in enumerate(prints) if 0 < len(x) <= SHORT], dtype=np.int64)
+        return cls(np.array([r["cid"] for r in rows], dtype=np.int64), prints, [_index(prints, half) for half in range(2)], short, _track(prints))
+
+
+class Track(NamedTuple):
+    """Fingerprints end to end; gaps of ``SHORT`` positions before, between and after them are not ``valid``."""
+
+    values: np.ndarray
+    valid: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+
+def _track(prints: list[np.ndarray]) -> Track:
+    sizes = np.array([len(x) for x in prints], dtype=np.int64)
+    starts = SHORT + np.cumsum(sizes + SHORT) - sizes - SHORT
+    values, valid = np.zeros(SHORT + int((sizes + SHORT).sum()), dtype=np.uint32), np.zeros(SHORT + int((sizes + SHORT).sum()), dtype=bool)
+    for x, at in zip(prints, starts.tolist(), strict=True):
+        values[at : at + len(x)], valid[at : at + len(x)] = x, True
+    return Track(values, valid, starts, sizes)
+
+
+def _against(classes: DataFrame, held) -> DataFrame:
+    """Links between the broadcast block of queries and all classes."""
 
     def run(batches):
-        cids, prints, index = held.value
         for batch in batches:
+            block = held.value
             out = [
-                (int(cids[q]), cid, offset, votes, share)
+                (int(block.cids[q]), cid, offset, votes, share)
                 for cid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for q, offset, votes, share in _matches(np.frombuffer(body, dtype="<u4"), prints, index)
-                if cids[q] != cid
+                for q, offset, votes, share in _matches(np.frombuffer(body, dtype="<u4"), block)
+                if block.cids[q] != cid
             ]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
@@ -181,16 +220,16 @@ def _against(classes: DataFrame, rows: list) -> DataFrame:
     return classes.select("cid", "fp").mapInArrow(run, LINK)
 
 
-def _keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Upper bits at the first position of each run of equal ones."""
-    k = (fp >> np.uint32(32 - KEY_BITS)).astype(np.int64)
+def _keys(fp: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """One half of each integer, at the first position of each run of equal ones."""
+    k = ((fp >> np.uint32(KEY_BITS * half)) & np.uint32((1 << KEY_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(k, prepend=-1))
     return k[first], first
 
 
-def _index(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of all queries with their query's number and position."""
-    parts = [_keys(x) for x in prints]
+def _index(prints: list[np.ndarray], half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of all queries that are not short, with their query's number and position."""
+    parts = [_keys(x if len(x) > SHORT else x[:0], half) for x in prints]
     keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, dtype=np.int64)])
     order = np.argsort(keys, kind="stable")
     owner = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
@@ -198,31 +237,80 @@ def _index(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys[order], owner[order].astype(np.int32), at[order].astype(np.int32)
 
 
-def _matches(fp: np.ndarray, prints: list[np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float]]:
-    """Queries that a recording matches: number, offset, votes and share of differing bits at the fullest offset (nearest to zero, then least, among equals)."""
-    keys, owner, at = index
-    k, pos = _keys(fp)
-    low, high = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
-    sizes = high - low
-    total = int(sizes.sum())
-    if not total:
-        return []
-    rows = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
-    pairs, votes = np.unique(np.stack([owner[rows], np.repeat(pos, sizes) - at[rows]], axis=1), axis=0, return_counts=True)
-    enough = votes >= LEAST_VOTES
-    pairs, votes = pairs[enough], votes[enough]
-    order = np.lexsort((pairs[:, 1], np.abs(pairs[:, 1]), -votes, pairs[:, 0]))
-    out, last = [], -1
-    for i in order.tolist():
-        q, offset = int(pairs[i, 0]), int(pairs[i, 1])
-        if q != last:
-            last = q
-            share, overlap = errors(prints[q], fp, offset)
-            if share <= MOST_ERRORS and overlap >= LEAST_OVERLAP * min(len(fp), len(prints[q])):
-                out.append((q, offset, int(votes[i]), share))
+def _voted(fp: np.ndarray, block: Block):
+    """Chunks of ``(query, offset, votes)`` arrays: what equal halves vote for."""
+    for half, (keys, owner, at) in enumerate(block.index):
+        k, pos = _keys(fp, half)
+        low = np.searchsorted(keys, k)
+        ends = np.cumsum(np.searchsorted(keys, k, side="right") - low)
+        for start in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+            hit = np.arange(start, min(start + CHUNK, int(ends[-1])))
+            i = np.searchsorted(ends, hit, side="right")
+            rows = low[i] + hit - np.where(i > 0, ends[i - 1], 0)
+            code, votes = np.unique((owner[rows].astype(np.int64) << 32) + (pos[i] - at[rows] + (1 << 31)), return_counts=True)
+            yield code >> 32, (code & 0xFFFFFFFF) - (1 << 31), votes
+
+
+def _shares(fp: np.ndarray, block: Block, q: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Share of differing bits over the whole overlap of each query and offset; 1 where they overlap too little."""
+    n = block.track.sizes[q]
+    first, last = np.maximum(0, -offset), np.minimum(n, len(fp) - offset)
+    size, out = last - first, np.ones(len(q))
+    todo = np.flatnonzero((size > 0) & (size >= LEAST_OVERLAP * np.minimum(n, len(fp))))
+    cuts = np.cumsum(size[todo]) // CHUNK  # about CHUNK positions at once, or one overlap
+    for part in np.split(todo, np.flatnonzero(np.diff(cuts)) + 1):
+        if len(part):
+            begin = np.cumsum(size[part]) - size[part]
+            mine = np.arange(int(size[part].sum())) + np.repeat(first[part] - begin, size[part])
+            bits = np.bitwise_count(block.track.values[mine + np.repeat(block.track.starts[q[part]], size[part])] ^ fp[mine + np.repeat(offset[part], size[part])])
+            out[part] = np.add.reduceat(bits, begin, dtype=np.int64) / (32 * size[part])
     return out
 
 
+def _everywhere(prints: list[np.ndarray], track: Track):
+    """For short ``prints``, each offset against a track at which they match: arrays of print, number on the track, its position less the print's, share."""
+    wide = len(track.values) - SHORT + 1
+    step = max(1, CHUNK // wide)
+    for base in range(0, len(prints), step):
+        some = prints[base : base + step]
+        own = np.array([len(x) for x in some])
+        wrong, size = np.zeros((len(some), wide), dtype=np.int32), np.zeros((len(some), wide), dtype=np.int32)
+        for i in range(int(own.max())):
+            value, has = np.array([x[i] if i < len(x) else 0 for x in some], dtype=np.uint32), i < own
+            both = has[:, None] & track.valid[None, i : i + wide]
+            wrong += np.bitwise_count(value[:, None] ^ track.values[None, i : i + wide]) * both
+            size += both
+        # gaps are as wide as a print, so it meets one recording at a time: the last to start before its end
+        at, s = np.nonzero((size > 0) & (wrong <= MOST_ERRORS * 32 * size))
+        met = np.searchsorted(track.starts, s + own[at] - 1, side="right") - 1
+        good = size[at, s] >= LEAST_OVERLAP * np.minimum(own[at], track.sizes[met])
+        at, s, met = at[good], s[good], met[good]
+        yield at + base, met, s - track.starts[met], wrong[at, s] / (32 * size[at, s])
+
+
+def _matches(fp: np.ndarray, block: Block) -> list[tuple[int, int, int, float]]:
+    """Queries that a recording matches: number, offset, votes (0 where every offset was tried) and share of differing bits.
+
+    Of several offsets the one with most votes, then fewest errors, then nearest to zero, then least.
+    """
+    best: dict[int, dict[int, tuple[int, float]]] = {}
+    if 0 < len(fp) <= SHORT:
+        found = [(q, -at, np.zeros(len(q), dtype=np.int64), share) for _, q, at, share in _everywhere([fp], block.track)] if len(block.track.starts) else []
+    elif len(fp):
+        found = ((q, at, votes, _shares(fp, block, q, at)) for q, at, votes in _voted(fp, block))
+        tried = _everywhere([block.prints[i] for i in block.short], _track([fp]))
+        found = chain(found, ((block.short[p], at, np.zeros(len(p), dtype=np.int64), share) for p, _, at, share in tried))
+    else:
+        found = []
+    for q, at, votes, share in found:
+        good = share <= MOST_ERRORS
+        for i, o, v, e in zip(q[good].tolist(), at[good].tolist(), votes[good].tolist(), share[good].tolist(), strict=True):
+            kept = best.setdefault(i, {})
+            kept[o] = (kept.get(o, (0, e))[0] + v, e)
+    chosen = ((q, min(offsets, key=lambda o: (-offsets[o][0], offsets[o][1], abs(o), o)), offsets) for q, offsets in sorted(best.items()))
+    return [(q, o, offsets[o][0], offsets[o][1]) for q, o, offsets in chosen]
+
+
 def render(values, note: int = 768) -> bytes:
     """A tune from numbers: each is a tone of ``note`` samples, its pitch follows from the value; two partials, soft borders."""
     x = np.nan_to_num(np.asarray(values if values is not None else [], dtype=float), nan=0.0, posinf=0.0, neginf=0.0)

@@ -98,3 +98,46 @@ def test_query_rows(spark, tmp_path):
     assert by[0][0]["queried"] and not by[1][0]["queried"]
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/none/embeddings.parquet")
     assert audio.op3_chroma_align(spark, f"{tmp_path}/none").count() == 0
+
+
+def block(*prints):
+    return audio.Block.of([{"cid": i, "fp": p.tobytes()} for i, p in enumerate(prints)])
+
+
+def test_pairs_near_the_error_limit_and_short_recordings():
+    rng = np.random.default_rng(7)
+    bit = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    want = got = short = 0
+    for n in (1, 2, 7, 24, 25, 40, 112):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+            b = np.concatenate([rng.integers(0, 1 << 32, rng.integers(0, 4), dtype=np.uint32), a ^ ((rng.random((n, 32)) < 0.13) * bit).sum(1).astype(np.uint32)])
+            tried = [(o, *audio.errors(a, b, o)) for o in range(-len(a), len(b))]
+            good = {o: share for o, share, size in tried if size >= audio.LEAST_OVERLAP * min(len(a), len(b)) and share <= audio.MOST_ERRORS}
+            found = {q: (o, share) for q, o, _, share in audio._matches(b, block(a, rng.integers(0, 1 << 32, 60, dtype=np.uint32)))}
+            assert 0 not in found or abs(good[found[0][0]] - found[0][1]) < 1e-12
+            assert n > audio.SHORT or (0 in found) == bool(good)  # short ones are exact
+            want, got, short = want + bool(good), got + (0 in found), short + (bool(good) and n <= audio.SHORT)
+    assert short > 60 and got >= 0.97 * want
+
+
+def test_sustained_tones_and_chunks(monkeypatch):
+    tone = np.full(200, 12345, dtype=np.uint32)
+    assert audio._matches(tone, block(tone[:150], tone[:9])) == [(0, 0, 2, 0.0), (1, 0, 0, 0.0)]
+    rng = np.random.default_rng(8)
+    motif = np.tile(rng.integers(0, 1 << 32, 6, dtype=np.uint32), 40)
+    some = block(motif[:90], motif[4:200], rng.integers(0, 1 << 32, 80, dtype=np.uint32))
+    whole = audio._matches(motif, some)
+    monkeypatch.setattr(audio, "CHUNK", 64)
+    assert audio._matches(motif, some) == whole and [q for q, *_ in whole] == [0, 1]
+
+
+def test_blocks_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    tunes = [tune(rng) for _ in range(12)]
+    rows = [(i, bytearray(audio.render(t))) for i, t in enumerate(tunes)] + [(20 + i, bytearray(audio.render(t[8:]))) for i, t in enumerate(tunes)] + [(None, bytearray(audio.render(tunes[0][:50])))]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "vec_id long, media binary"), "vec_id", "media")
+    links = lambda: {tuple(r) for r in audio.align(prints, "vec_id", F.col("vec_id") < 12)[1].collect()}
+    whole = links()
+    monkeypatch.setattr(audio, "BLOCK_POSITIONS", 300)
+    assert links() == whole and len(whole) >= 12
