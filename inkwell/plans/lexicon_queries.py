@@ -202,19 +202,34 @@ def suggest_candidates_d1(spark, sf_dir):
     return suggest.within(rare(spark, sf_dir), dictionary(spark, sf_dir), 1)
 
 
-@query("suggest_top3", None)
+_SPLIT = """usable AS (SELECT word FROM dict WHERE level <= 35 AND length(word) > 1 UNION SELECT unnest(['a', 'i'])),
+cuts AS (SELECT word, left(word, i) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word)::BIGINT)) AS i FROM rare WHERE length(word) >= 3)),
+splits AS (SELECT word, min(head || ' ' || tail) AS split FROM cuts WHERE head IN (SELECT word FROM usable) AND tail IN (SELECT word FROM usable) GROUP BY word HAVING count(*) = 1)"""
+_TWO_LESS = f"unnest(list_distinct(flatten(list_transform({sql.one_less('word')}, lambda k: {sql.one_less('k').replace('lambda i', 'lambda j').replace('i - 1', 'j - 1').replace('i + 1', 'j + 1')}))))"
+_OWN = f"""a AS (SELECT word, {_TWO_LESS} AS k FROM rare), b AS (SELECT word AS other, {_TWO_LESS} AS k FROM dict), pairs AS (SELECT DISTINCT word, other FROM a JOIN b USING (k)),
+near2 AS MATERIALIZED (SELECT word, other, {sql.osa_upto_2('word', 'other')} AS distance FROM pairs WHERE damerau_levenshtein(word, other) <= 2),
+placed AS (SELECT n.word, other, distance, (70 - level) // 10 AS standing, row_number() OVER (PARTITION BY n.word ORDER BY distance, (70 - level) // 10 DESC, {sql.common_prefix('n.word', 'other')} DESC, {sql.common_prefix('reverse(n.word)', 'reverse(other)')} DESC, other) AS place
+ FROM near2 n JOIN dict d ON n.other = d.word WHERE distance <= {dims.MAX_EDIT_DISTANCE}),
+weighed AS (SELECT *, (ln(standing + 1.0::DOUBLE) + 1.0::DOUBLE) * pow({dims.EDIT_PENALTY}::DOUBLE, distance) * CASE WHEN regexp_matches(other, array_to_string(string_split(word, ''), '.*')) THEN {dims.SUBSEQUENCE_BONUS}::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM placed WHERE place <= {dims.MAX_SUGGESTIONS}),
+scored AS (SELECT word, other, weight / sum(weight) OVER (PARTITION BY word) AS part, row_number() OVER (PARTITION BY word ORDER BY distance, weight DESC, place) AS i FROM weighed),
+own AS (SELECT word, list({{'w': other, 's': score}} ORDER BY i) AS own FROM (SELECT word, other, i, {sql.rounded('part', 3)} AS score FROM scored) WHERE i = 1 OR score >= {dims.MIN_SUGGESTION_SCORE} GROUP BY word),
+headed AS (SELECT r.word, split, coalesce(own, []) AS own, greatest(1.0::DOUBLE - list_sum(list_concat([0.0::DOUBLE], list_transform(coalesce(own, [])[:{dims.MAX_SUGGESTIONS - 1}], lambda x: x.s))) * {dims.SPLIT_SHARE}::DOUBLE, {dims.SPLIT_SHARE}::DOUBLE) AS head
+ FROM rare r LEFT JOIN own o ON r.word = o.word LEFT JOIN splits s ON r.word = s.word)"""
+_SHARED = sql.rounded(f"(x.s * {dims.SPLIT_SHARE}::DOUBLE)", 3)
+
+
+@query(
+    "suggest_top3",
+    f"""WITH {WORDS}, {DICT}, {_RARE}, {_SPLIT}, {_OWN}
+SELECT word, array_to_string(CASE WHEN split IS NULL THEN list_transform(own, lambda x: x.w || ':' || x.s) ELSE list_concat([split || ':' || {sql.rounded('head', 3)}], list_transform(own[:{dims.MAX_SUGGESTIONS - 1}], lambda x: x.w || ':' || {_SHARED})) END, ' ') AS suggestions FROM headed""",
+)
 def suggest_top3(spark, sf_dir):
     asked = rare(spark, sf_dir).select("word", F.lit(False).alias("want_name"))
     out = suggest.suggestions(asked, known.tables(spark, dictionary=dictionary(spark, sf_dir)))
     return out.select("word", F.transform("suggestions", lambda s: F.concat_ws(":", s["word"], s["score"].cast("string"))).alias("suggestions")).select("word", F.array_join("suggestions", " ").alias("suggestions"))
 
 
-@query(
-    "split_compounds",
-    f"""WITH {WORDS}, {DICT}, {_RARE}, usable AS (SELECT word FROM dict WHERE level <= 35 AND length(word) > 1 UNION SELECT unnest(['a', 'i'])),
-cuts AS (SELECT word, left(word, i) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word)::BIGINT)) AS i FROM rare WHERE length(word) >= 3))
-SELECT word, min(head || ' ' || tail) AS split FROM cuts WHERE head IN (SELECT word FROM usable) AND tail IN (SELECT word FROM usable) GROUP BY word HAVING count(*) = 1""",
-)
+@query("split_compounds", f"WITH {WORDS}, {DICT}, {_RARE}, {_SPLIT} SELECT word, split FROM splits")
 def split_compounds(spark, sf_dir):
     return known.split_in_two(rare(spark, sf_dir), dictionary(spark, sf_dir))
 

@@ -92,3 +92,22 @@ def dictionary(least: int = 3) -> str:
     """After :func:`prose_words`: ``dict`` with ``word, level`` from document counts."""
     return f"""dict AS MATERIALIZED (SELECT word, CASE WHEN docs >= 200 THEN 10 WHEN docs >= 60 THEN 20 WHEN docs >= 20 THEN 35 WHEN docs >= 10 THEN 40 WHEN docs >= 6 THEN 50 WHEN docs >= 4 THEN 55 ELSE 60 END AS level
  FROM (SELECT word, count(DISTINCT doc_id) AS docs FROM words GROUP BY word) WHERE docs >= {least})"""
+
+
+def one_less(x: str) -> str:
+    """The word and all spellings with one character gone."""
+    return f"list_concat([{x}], list_transform(range(1, length({x})::BIGINT + 1), lambda i: left({x}, i - 1) || substr({x}, i + 1)))"
+
+
+def osa_upto_2(a: str, b: str) -> str:
+    """The restricted distance of two ASCII words, 3 for all above 2.
+
+    DuckDB's distance lets letters change between swapped ones, which can only make a 3 a 2. A restricted 2 has either no swap, or a swap with one slip at most before or after it.
+    """
+    slips = f"damerau_levenshtein(left({a}, i - 1), left({b}, greatest(i + d - 1, 0))) + damerau_levenshtein(substr({a}, i + 2), substr({b}, greatest(i + d, 1) + 2))"
+    swap = f"list_filter(range(1, length({a})::BIGINT), lambda i: len(list_filter([-1, 0, 1], lambda d: i + d >= 1 AND substr({b}, greatest(i + d, 1), 2) = reverse(substr({a}, i, 2)) AND {slips} <= 1)) > 0)"
+    return f"CASE WHEN damerau_levenshtein({a}, {b}) <> 2 THEN least(damerau_levenshtein({a}, {b}), 3) WHEN levenshtein({a}, {b}) = 2 OR len({swap}) > 0 THEN 2 ELSE 3 END"
+
+
+def common_prefix(a: str, b: str) -> str:
+    return f"len(list_filter(range(1, least(length({a}), length({b}))::BIGINT + 1), lambda i: left({a}, i) = left({b}, i)))"
