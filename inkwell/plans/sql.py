@@ -111,3 +111,24 @@ def osa_upto_2(a: str, b: str) -> str:
 
 def common_prefix(a: str, b: str) -> str:
     return f"len(list_filter(range(1, least(length({a}), length({b}))::BIGINT + 1), lambda i: left({a}, i) = left({b}, i)))"
+
+
+def blanked(x: str, pattern: str, start: str = "0") -> str:
+    """The text with every match as spaces, from ``start`` (an expression over the match ``h``) on."""
+    pieces = f"list_zip(string_split_regex({x}, '{pattern}'), regexp_extract_all({x}, '{pattern}'))"
+    hit = f"list_transform([coalesce(z[2], '')], lambda h: left(h, {start}) || repeat(' ', length(h) - {start}))[1]"
+    return f"array_to_string(list_transform({pieces}, lambda z: coalesce(z[1], '') || {hit}), '')"
+
+
+def mask_in_place(x: str) -> str:
+    """The text with all that is no prose as spaces; a path begins at the first slash of a run that nothing but an opening sign precedes, or at the first ``~/`` or ``./``."""
+    rooted = "regexp_extract(h, '^(?:|.*?[(><\"''=\\[{:,|`])/')"
+    marked = "regexp_extract(h, '^.*?(?:~/|\\./)')"
+    start = f"least(CASE WHEN {rooted} = '' THEN length(h) ELSE length({rooted}) - 1 END, CASE WHEN {marked} = '' THEN length(h) ELSE length({marked}) - 2 END)::BIGINT"
+    regions = [blanked(x, "`[^`]*`"), blanked(x, "</?[A-Za-z][^>\\s]*>"), blanked(x, "\\S+", start), blanked(x, "\\S*@\\S*"), blanked(x, _IRI.replace("'", "''"))]
+    return "[" + ", ".join(regions) + "]"
+
+
+def union_of_spaces(x: str, versions: str) -> str:
+    at = "list_transform(range(1, length({0})::BIGINT + 1), lambda i: CASE WHEN len(list_filter({1}, lambda v: substr(v, i, 1) = ' ')) > 0 THEN ' ' ELSE substr({0}, i, 1) END)"
+    return f"array_to_string({at.format(x, versions)}, '')"

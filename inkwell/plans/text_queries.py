@@ -102,7 +102,11 @@ def split_identifier_parts(spark, sf_dir):
     return names.select(F.explode(tx.split_identifier(F.col("name"))).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mask_regions", None)
+@query(
+    "mask_regions",
+    f"""WITH {sql.lines("pages", "page_id", "html")}, folded AS (SELECT page_id, line, raw, {sql.fold("raw")} AS x FROM lines), regions AS (SELECT page_id, line, raw, x, {sql.mask_in_place("x")} AS vs FROM folded),
+masked AS (SELECT page_id, line, raw, {sql.union_of_spaces("x", "vs")} AS m FROM regions) SELECT page_id, line::INT AS line, length(raw)::INT AS chars, length(m)::INT AS masked_chars, md5(m) AS masked_md5 FROM masked""",
+)
 def mask_regions(spark, sf_dir):
     pages = tokens.lines(read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
     masked = mask(tx.fold_typography(F.col("raw")))
