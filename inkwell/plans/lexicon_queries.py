@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import dims
 from inkwell.functions.lets import round_half_away
 from inkwell.operators import evaluate, findings, hooks, ingest, known, maintain, phrases, realword, seed, suggest, tokens, vocabulary
-from inkwell.plans import sql
+from inkwell.plans import checker_sql, sql
 from inkwell.plans.text_queries import RUNS, WORDS, documents, read
 
 QUERIES: dict = {}
@@ -216,13 +216,11 @@ own AS (SELECT word, list({{'w': other, 's': score}} ORDER BY i) AS own FROM (SE
 headed AS (SELECT r.word, split, coalesce(own, []) AS own, greatest(1.0::DOUBLE - list_sum(list_concat([0.0::DOUBLE], list_transform(coalesce(own, [])[:{dims.MAX_SUGGESTIONS - 1}], lambda x: x.s))) * {dims.SPLIT_SHARE}::DOUBLE, {dims.SPLIT_SHARE}::DOUBLE) AS head
  FROM rare r LEFT JOIN own o ON r.word = o.word LEFT JOIN splits s ON r.word = s.word)"""
 _SHARED = sql.rounded(f"(x.s * {dims.SPLIT_SHARE}::DOUBLE)", 3)
+_BEST = f"""{_SPLIT}, {_OWN},
+best_of AS (SELECT word, CASE WHEN split IS NULL THEN own ELSE list_concat([{{'w': split, 's': {sql.rounded('head', 3)}}}], list_transform(own[:{dims.MAX_SUGGESTIONS - 1}], lambda x: {{'w': x.w, 's': {_SHARED}}})) END AS best FROM headed)"""
 
 
-@query(
-    "suggest_top3",
-    f"""WITH {WORDS}, {DICT}, {_RARE}, {_SPLIT}, {_OWN}
-SELECT word, array_to_string(CASE WHEN split IS NULL THEN list_transform(own, lambda x: x.w || ':' || x.s) ELSE list_concat([split || ':' || {sql.rounded('head', 3)}], list_transform(own[:{dims.MAX_SUGGESTIONS - 1}], lambda x: x.w || ':' || {_SHARED})) END, ' ') AS suggestions FROM headed""",
-)
+@query("suggest_top3", f"WITH {WORDS}, {DICT}, {_RARE}, {_BEST} SELECT word, array_to_string(list_transform(best, lambda x: x.w || ':' || x.s), ' ') AS suggestions FROM best_of")
 def suggest_top3(spark, sf_dir):
     asked = rare(spark, sf_dir).select("word", F.lit(False).alias("want_name"))
     out = suggest.suggestions(asked, known.tables(spark, dictionary=dictionary(spark, sf_dir)))
@@ -259,10 +257,11 @@ _SETS = f"sets AS (SELECT * FROM (VALUES {dims.sql_values([(w, a, i) for s in di
 _BI = f"bi AS MATERIALIZED (SELECT gram, count(*) AS c FROM ({sql.grams(2, '1')}) GROUP BY gram)"
 # Confusable words barely occur in invented prose, so frequent words stand in for them.
 _SWAPPED = "swapped AS MATERIALIZED (SELECT doc_id, line, pos, CASE word WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE word END AS word, CASE prev WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE prev END AS prev, CASE next WHEN 'the' THEN 'then' WHEN 'of' THEN 'form' WHEN 'and' THEN 'though' ELSE next END AS next FROM near)"
-_EVIDENCE = """bigrams AS MATERIALIZED (SELECT gram, sum(n)::BIGINT AS c FROM (SELECT prev || ' ' || word AS gram, count(*) AS n FROM swapped WHERE prev IS NOT NULL GROUP BY 1 UNION ALL SELECT prev || ' ' || CASE word WHEN 'then' THEN 'than' WHEN 'form' THEN 'from' ELSE 'through' END, count(*) * 3 FROM swapped WHERE word IN ('then', 'form', 'though') AND prev IS NOT NULL GROUP BY 1) GROUP BY gram),
-opts AS (SELECT DISTINCT doc_id, line, pos, s.word, prev, next, unnest([-1, place]) AS place, unnest([s.word, alternative]) AS option FROM swapped s JOIN sets ON s.word = sets.word),
+_COUNTED = """bigrams AS MATERIALIZED (SELECT gram, sum(n)::BIGINT AS c FROM (SELECT prev || ' ' || word AS gram, count(*) AS n FROM swapped WHERE prev IS NOT NULL GROUP BY 1 UNION ALL SELECT prev || ' ' || CASE word WHEN 'then' THEN 'than' WHEN 'form' THEN 'from' ELSE 'through' END, count(*) * 3 FROM swapped WHERE word IN ('then', 'form', 'though') AND prev IS NOT NULL GROUP BY 1) GROUP BY gram)"""
+_SCORES = """opts AS (SELECT DISTINCT doc_id, line, pos, s.word, prev, next, unnest([-1, place]) AS place, unnest([s.word, alternative]) AS option FROM swapped s JOIN sets ON s.word = sets.word),
 scores AS (SELECT doc_id, line, pos, o.word, place, option, (coalesce(a.c, 0) + coalesce(b.c, 0))::BIGINT AS score FROM opts o LEFT JOIN bigrams a ON a.gram = o.prev || ' ' || o.option LEFT JOIN bigrams b ON b.gram = o.option || ' ' || o.next),
 evidence AS (SELECT doc_id, line, pos, word, arg_max(option, score * 10 + place) FILTER (place >= 0) AS suggestion, max(score) FILTER (place < 0) AS written_evidence, max(score) FILTER (place >= 0) AS suggested_evidence FROM scores GROUP BY 1, 2, 3, 4)"""
+_EVIDENCE = f"{_COUNTED}, {_SCORES}"
 
 
 def swapped(spark, sf_dir):
@@ -382,12 +381,16 @@ def _flat(rows):
     return rows.withColumn("suggestions", F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["word"], s["score"].cast("string"))), " "))
 
 
-@query("findings_documents", None)
+def _checked(source: str, key: str, text: str) -> str:
+    return f"{RUNS}, {DICT}, {_BI}, {_SETS}, {checker_sql.findings(source, key, text, _BEST, _SCORES)}"
+
+
+@query("findings_documents", f"WITH {_checked('documents', 'doc_id', 'text')} {checker_sql.flat('doc_id')}")
 def findings_documents(spark, sf_dir):
     return _flat(findings.findings(documents(spark, sf_dir), checker_tables(spark, sf_dir)))
 
 
-@query("findings_pages", None)
+@query("findings_pages", f"WITH {_checked('pages', 'page_id', 'html')} {checker_sql.flat('page_id')}")
 def findings_pages(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return _flat(findings.findings(pages, checker_tables(spark, sf_dir), key="page_id"))
