@@ -427,14 +427,32 @@ def evaluated(spark, sf_dir):
     return findings.findings(docs.select("item_id", "text"), checker_tables(spark, sf_dir), key="item_id"), made
 
 
-@query("eval_score", None)
+_EVALUATED = f"""made_errors AS MATERIALIZED (WITH {_INJECTED} SELECT item_id, line, original, mutated, kind FROM injected),
+damaged AS MATERIALIZED (WITH {sql.lines("benchmark", "item_id")} SELECT item_id, string_agg(CASE WHEN original IS NULL THEN raw ELSE left(raw, strpos(raw, original) - 1) || mutated || substr(raw, strpos(raw, original) + length(original)) END, chr(10) ORDER BY line) AS text
+ FROM lines LEFT JOIN made_errors USING (item_id, line) GROUP BY item_id),
+{_checked('damaged', 'item_id', 'text')},
+first_found AS (SELECT doc_id, line, lower(word) AS w, min(col) AS hit, arg_min(list_transform(suggestions, lambda x: lower(x.w)), col) AS fixes FROM found GROUP BY 1, 2, 3),
+matched AS (SELECT item_id, e.line, kind, mutated, hit, coalesce(list_contains(f.fixes, lower(original)), false) AS corrected FROM made_errors e LEFT JOIN first_found f ON f.doc_id = item_id AND f.line = e.line AND f.w = lower(mutated)),
+hits AS (SELECT count(mutated) AS injected, (SELECT count(*) FROM found) AS findings, count(hit) AS caught, count_if(corrected)::BIGINT AS corrected, (SELECT count(*) FROM found) - (SELECT count(*) FROM (SELECT DISTINCT item_id, line, hit FROM matched WHERE hit IS NOT NULL)) AS false_positives,
+ (WITH {sql.prose_words("benchmark", "item_id")} SELECT count(*) FROM words)::DOUBLE AS words FROM matched)"""
+
+
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE {a} / {b}::DOUBLE END"
+
+
+@query(
+    "eval_score",
+    f"""WITH {_EVALUATED} SELECT injected, findings, caught, corrected, false_positives, words, {_share('(false_positives * 1000.0::DOUBLE)', 'words')} AS false_positive_rate, {_share('caught', 'injected')} AS recall,
+{_share('caught', 'findings')} AS precision, {_share('corrected', 'caught')} AS correction_rate FROM hits""",
+)
 def eval_score(spark, sf_dir):
     found, made = evaluated(spark, sf_dir)
     words = tokens.words(read(spark, sf_dir, "benchmark")).count()
     return evaluate.score(found, made, words, key="item_id")
 
 
-@query("eval_by_kind", None)
+@query("eval_by_kind", f"WITH {_EVALUATED} SELECT kind, count(*) AS injected, count(hit) AS caught, {_share('count(hit)', 'count(*)')} AS recall FROM matched GROUP BY kind")
 def eval_by_kind(spark, sf_dir):
     return evaluate.score_by_kind(*evaluated(spark, sf_dir), key="item_id")
 
