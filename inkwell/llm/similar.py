@@ -1,12 +1,12 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies: SimHash candidates by the generalised pigeonhole principle, verified by exact similarity of word shingles.
 
 Two texts are near copies if the Jaccard similarity of their sets of ``WORDS``-word shingles is ``LEAST`` or more. Candidates come from
-``BANDS`` bands of ``ROWS`` MinHash values (one multiply-add permutation each): texts that agree in one whole band meet. At similarity 0.8
-a pair misses every band with probability (1 - 0.8^6)^32 = 6e-5, above it less. Every candidate is verified on the whole sets, so nothing
-is linked by an estimate. SimHash has no usable distance here: at 0.8 about 10 of 64 bits differ, and probes that far meet nearly every text.
+:func:`simhash.wide_links`, over wide majority fingerprints of these sets. At similarity 0.8 a pair never meets there with a probability of about 0.002,
+above it less. Every candidate is verified on the whole sets, so nothing is linked by an estimate.
 
-Work is on distinct texts: exact copies never meet each other. In a block of one band value all texts are first compared with the block's
-least one. Then, for ``ROUNDS`` rounds, every component in a block is compared, by a text of it drawn anew, with one of the block's
+Work is on distinct texts: exact copies never meet each other. The links that the fingerprints give are a spanning forest, so a link that
+fails may stand for a pair that would not. So the components of verified links that a failed link joins form a group, whose members are
+compared further. For ``ROUNDS`` rounds, every component in a group is compared, by a text of it drawn anew, with one of the group's
 largest component: a straggler of a large group is mostly like one of a few dozen members of it, so it needn't meet them all. What is still
 apart meets by its rarest shingles: similar sets always share one of these (prefix filter), texts that merely share a common passage do not.
 Only pairs that are not yet in one component and whose sketches allow the similarity are verified. A sketch has the parity of the number of shingles
@@ -23,23 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialise
 from .components import components
 
 WORDS = 5
 LEAST = 0.8
-BANDS = 32
-ROWS = 6
 SEED = 42
 ROUNDS = 2
 #: Bits of a sketch: a power of two, at least 64.
 SKETCH = 1024
-#: Shingles whose permuted values are in memory at once.
-BLOCK = 512
-
-_RANDOM = np.random.default_rng(SEED)
-_TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+#: Sets that are in a worker's memory at once.
+BATCH = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,40 +57,32 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One value for each band; none for a text without words."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[at : at + BLOCK, None] * _TIMES + _PLUS).min(axis=0))
-    value = np.zeros(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        value = _mixed(value * _STEP + column)
-    return value.view(np.int64)
-
-
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Parities of the shingles' numbers by slot, packed into longs."""
     odd = np.bincount((hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _bands_of(texts: DataFrame) -> DataFrame:
+def _prints_of(texts: DataFrame) -> DataFrame:
+    """``node, fp`` of each text with words."""
+
     def run(batches):
         for batch in batches:
-            rows = pa.array([bands(shingles(t.as_py())) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["node", "bands"])
+            found = [(node, simhash.wide_fingerprint(h)) for node, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if len(h := shingles(t.as_py()))]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bands array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, fp binary")
 
 
 def _sets_of(texts: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for h in found], [sketch(h) for h in found])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "hashes", "sketch"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                found = [shingles(t.as_py()) for t in batch.column(1)]
+                columns = [pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for h in found], [sketch(h) for h in found])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "hashes", "sketch"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>, sketch array<long>")
 
@@ -125,28 +112,37 @@ def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(near.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near")
 
 
+def _groups(near: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, group`` for the nodes of components that ``links`` join though no verified link does."""
+    for x in ("u", "v"):
+        links = links.join(near.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x)
+    apart = links.where("u_root <> v_root").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    tops = components(apart).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    return near.join(tops, "root").select("node", "group")
+
+
 def _drawn(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``u, v`` of one round over ``placed`` (band, value, node, root): in each block, one node of each component and one of the largest."""
+    """Pairs ``u, v`` of one round over ``placed`` (group, node, root): in each group, one node of each component and one of the largest."""
     draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).getField("node")
-    some = placed.groupBy("band", "value", "root").agg(draw.alias("u"), F.count(F.lit(1)).alias("n"))
-    most = some.groupBy("band", "value").agg(F.max(F.struct("n", "root", "u")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    met = some.join(most, ["band", "value"]).where("root <> top.root")
+    some = placed.groupBy("group", "root").agg(draw.alias("u"), F.count(F.lit(1)).alias("n"))
+    most = some.groupBy("group").agg(F.max(F.struct("n", "root", "u")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    met = some.join(most, "group").where("root <> top.root")
     return met.select(F.least("u", "top.u").alias("u"), F.greatest("u", "top.u").alias("v")).distinct()
 
 
 def prefixes(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """``node, root, sketch, n, hash, rest`` for the rarest shingles of each set, as many as two similar sets must share one of: all but ``least`` of them, and one more.
+    """``group, node, root, sketch, n, hash, rest`` for the rarest shingles of each set, as many as two similar sets must share one of: all but ``least`` of them, and one more.
 
     ``rest``: how many shingles of the set, this one included, are not rarer; two sets share no more than that from their first common shingle on.
     """
-    each = rows.select("node", F.explode("hashes").alias("hash"))
-    often = each.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("all")).withColumn("n", F.size("all"))
+    each = rows.select("group", "node", F.explode("hashes").alias("hash"))
+    often = each.groupBy("group", "hash").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, ["group", "hash"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("all")).withColumn("n", F.size("all"))
     # the 1e-9 as in ``verified``
     kept = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
     placed = F.transform(kept, lambda x, i: F.struct(x["often"].alias("often"), x["hash"].alias("hash"), (F.col("n") - i).alias("rest")))
     few = ranked.select("node", "n", F.explode(F.filter(placed, lambda x: x["often"] > 1)).alias("x"))
-    return few.join(rows.select("node", "root", "sketch"), "node").select("node", "root", "sketch", "n", "x.hash", "x.rest")
+    return few.join(rows.select("group", "node", "root", "sketch"), "node").select("group", "node", "root", "sketch", "n", "x.hash", "x.rest")
 
 
 def _body(text: str) -> Column:
@@ -180,26 +176,24 @@ def classes(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """``node`` (a distinct text's hash), ``root`` (its component's) and ``component_id`` (the component's least key)."""
     marked = df.select(F.col(key), F.xxhash64(_body(text)).alias("node"), _body(text).alias("text"))
     nodes = materialise(marked.groupBy("node").agg(F.min(key).alias("least"), F.first("text").alias("text")), "texts")
-    rows = materialise(_bands_of(nodes).select("node", F.posexplode("bands").alias("band", "value")), "bands")
-    blocks = rows.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = materialise(rows.join(blocks, ["band", "value"]), "blocks")
-    members = materialise(met.select("node").distinct(), "members")
+    links = materialise(simhash.wide_links(materialise(_prints_of(nodes), "prints")), "links")
+    members = materialise(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
     sets = materialise(_sets_of(nodes.join(members, "node", "left_semi")), "sets")
-    first = met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    near = _merged(members.select("node", F.col("node").alias("root")), materialise(verified(first, sets, least), "links"))
+    near = _merged(members.select("node", F.col("node").alias("root")), materialise(verified(links, sets, least), "links"))
+    groups = materialise(_groups(near, links), "groups")
     for turn in range(ROUNDS):
-        found = materialise(verified(_drawn(met.join(near, "node"), turn), sets, least), "links")
+        found = materialise(verified(_drawn(groups.join(near, "node"), turn), sets, least), "links")
         if found.isEmpty():
             break
         near = _merged(near, found)
-    # then every pair that may be similar and is not in one component
-    placed = met.join(near, "node")
-    split = placed.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "value")
-    open_ = placed.join(split, ["band", "value"], "left_semi").select("node", "root").distinct()
+    # then every pair of a group that may be similar and is not in one component
+    placed = groups.join(near, "node")
+    split = placed.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("group")
+    open_ = placed.join(split, "group", "left_semi").select("group", "node", "root")
     met_again = materialise(prefixes(open_.join(sets, "node"), least), "prefixes")
-    left, right = (met_again.select("hash", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "sketch", "n", "rest")]) for x in ("u", "v"))
+    left, right = (met_again.select("group", "hash", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "sketch", "n", "rest")]) for x in ("u", "v"))
     enough = F.least("u_rest", "v_rest") * F.lit(1 + least) >= F.lit(least) * (F.col("u_n") + F.col("v_n")) - 1e-9
-    pairs = left.join(right, "hash").where("u_node < v_node and u_root <> v_root").where(enough & _allowed(F.col("u_n") + F.col("v_n"), least))
+    pairs = left.join(right, ["group", "hash"]).where("u_node < v_node and u_root <> v_root").where(enough & _allowed(F.col("u_n") + F.col("v_n"), least))
     cross = materialise(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "cross")
     near = _merged(near, verified(cross, sets, least))
     named = nodes.select("node", "least").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))

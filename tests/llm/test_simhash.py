@@ -104,3 +104,46 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (7, 6)], "u long, v long")
     rows = components(edges).collect()
     assert {r["root"] for r in rows} == {0} and len(rows) == n + 1
+
+
+def wide_set(n, seed):
+    """Wide fingerprints in groups, each a chain of steps of 1 to 41 bits; and pairs that are certain to meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    prints, certain = [], []
+    for _ in range(n):
+        bits = rng.integers(0, 2, simhash.WIDE, dtype=np.uint8)
+        prints.append(np.packbits(bits, bitorder="little").tobytes())
+        for _ in range(int(rng.choice([0, 1, 5]))):
+            bits = bits.copy()
+            bits[rng.choice(simhash.WIDE, int(rng.integers(1, simhash.CERTAIN + 1)), replace=False)] ^= 1
+            prints.append(np.packbits(bits, bitorder="little").tobytes())
+            certain.append((len(prints) - 2, len(prints) - 1))
+    prints.append(prints[0])  # equal fingerprints of two nodes
+    return prints, [*certain, (0, len(prints) - 1)]
+
+
+def test_wide_fingerprints_meet_within_the_certain_distance(spark):
+    """Also where a value's fingerprints are cut into pieces; no link joins fingerprints of unlike groups."""
+    prints, certain = wide_set(120, 4)
+    nodes = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, fp binary")
+    group = {}
+    for i in range(len(prints)):
+        group[i] = next((group[a] for a, b in certain if b == i), i)
+    for piece in (simhash.PIECE, 2):
+        roots = {r["node"]: r["root"] for r in components(simhash.wide_links(nodes, piece=piece)).collect()}
+        assert {i: roots.get(i, i) for i in group} == group
+
+
+def test_wide_fingerprints_meet_at_similarity_of_four_fifths(spark):
+    """Sets of 9 to 900 shingles of which eight in nine are shared: nearly all pairs are linked."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(5), []
+    for k in range(400):
+        n = 9 * int(rng.choice([1, 4, 20, 100]))
+        some = rng.integers(0, 1 << 64, n + n // 9, dtype=np.uint64)
+        rows += [(2 * k, bytearray(simhash.wide_fingerprint(some[:n]))), (2 * k + 1, bytearray(simhash.wide_fingerprint(some[n // 9 :])))]
+    found = {(r["u"], r["v"]) for r in simhash.wide_links(spark.createDataFrame(rows, "node long, fp binary")).collect()}
+    assert all(v == u + 1 and u % 2 == 0 for u, v in found) and len(found) >= 0.98 * 400

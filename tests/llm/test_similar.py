@@ -72,3 +72,15 @@ def test_ids_and_empty_table(docs):
     got = sorted(map(str, ((r["doc_id"], r["component_id"]) for r in similar.near_copies(docs(rows)).collect())))
     assert got == sorted(map(str, [(5, 3), (3, 3), (None, 3), (None, None), (5, 3)]))
     assert similar.near_copies(docs([])).count() == 0
+
+
+def test_stage_gets_its_pairs_from_the_simhash_operator(docs, tmp_path, monkeypatch):
+    """Without the operator's links nothing is a near copy; with them the stage drops one of the two."""
+    rng = random.Random(4)
+    one = " ".join(f"w{rng.randrange(3000)}" for _ in range(300))
+    df = docs([(0, one), (1, with_changes(one, 3, rng)), (2, "quite other words stand in here")])
+    kept = lambda: {r["doc_id"] for r in cp.near_duplicates(None, df, str(tmp_path)).collect()}
+    assert kept() == {0, 2}
+    links, used = similar.simhash.wide_links, []
+    monkeypatch.setattr(similar.simhash, "wide_links", lambda prints: used.append(prints) or links(prints).limit(0))
+    assert kept() == {0, 1, 2} and len(used) == 1
