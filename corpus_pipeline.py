@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each kept document; none for a null or empty text. Repeated rows and null ids stay rows."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), keep=False).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [

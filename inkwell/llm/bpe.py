@@ -36,6 +36,8 @@ from .common import table
 NEVER = np.int64(1) << 40
 NO_RULE = 1 << 40
 CACHE_CHUNKS = 300_000
+#: Texts that are encoded at once.
+SLICE = 200
 #: White space of the tokenizers' pattern language (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{SPACE}]+")
@@ -213,8 +215,8 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text."""
         out = []
-        for at in range(0, len(texts), 200):
-            cut = [self.chunks(t) if t else [] for t in texts[at : at + 200]]
+        for at in range(0, len(texts), SLICE):
+            cut = [self.chunks(t) if t else [] for t in texts[at : at + SLICE]]
             if len(self.cache) > CACHE_CHUNKS:
                 self._reset()
             if new := set().union(*cut).difference(self.cache):
@@ -250,18 +252,33 @@ def _free(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {sorted(taken)} exist already")
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str | None = None) -> DataFrame:
-    """Add the token ids of ``text`` as ``array<int>``; a null text gives an empty array."""
-    _free(df, out)
-    path = path or default_path()
+def id_lists(bpe: Bpe, texts: pa.Array) -> pa.Array:
+    """Token ids of each text, straight into Arrow lists."""
+    found = bpe.encode(texts.to_pylist())
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts):
-        import pandas as pd
 
-        return pd.Series(load(path).encode(texts.tolist()), dtype=object)
+def id_batches(batches, bpe: Bpe, at: int, kept: list[int], names: list[str]):
+    """The ``kept`` columns of each batch and the ids of column ``at``, ``SLICE`` rows at a time: a batch's ids are never in memory at once, here or in the JVM."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), id_lists(bpe, part.column(at))], names=names)
+        batch = part = None
+        # Arrow keeps what it freed; the JVM beside needs the executor's memory
+        pa.default_memory_pool().release_unused()
 
-    return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+
+def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str | None = None, keep: bool = True) -> DataFrame:
+    """Add the token ids of ``text`` as ``array<int>``; a null text gives an empty array. Without ``keep`` the text itself is left out."""
+    _free(df, out)
+    path = path or default_path()
+    at = [c.lower() for c in df.columns].index(text.lower())
+    kept = [i for i in range(len(df.columns)) if keep or i != at]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = schema.names
+    return df.mapInArrow(lambda batches: id_batches(batches, load(path), at, kept, names), schema)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -289,8 +306,8 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for batch in batches:
             texts = batch.column(1)
             counts, ids_sha, text_sha = [], [], []
-            for at in range(0, batch.num_rows, 200):
-                for packed in bpe.encode(texts.slice(at, 200).to_pylist()):
+            for at in range(0, batch.num_rows, SLICE):
+                for packed in bpe.encode(texts.slice(at, SLICE).to_pylist()):
                     ids = packed.tolist()
                     counts.append(len(ids))
                     ids_sha.append(sha(" ".join([number[i] for i in ids]).encode()).hexdigest())

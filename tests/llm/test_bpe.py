@@ -86,3 +86,21 @@ def test_columns_and_digests(spark, docs, plain):
 def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError):
         bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_leave_the_worker_in_slices(spark, own, plain):
+    """A batch of 6,000 texts is never there as ids at once; columns, order and nulls stay."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    some = [" ".join(rng.choices(["the", "cats", "running", "So", "42"], k=40)) for _ in range(50)]
+    rows = [(i, None if i == 7 else some[i % 50], i % 3) for i in range(6000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in some]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "Text", "extra"])
+    parts = list(bpe.id_batches([batch], own, 1, [0, 2], ["doc_id", "extra", "token_ids"]))
+    assert max(p.num_rows for p in parts) == bpe.SLICE
+    made = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert made == [(i, extra, want[i % 50] if text else []) for i, text, extra in rows]
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, Text string, extra int"), keep=False)
+    assert out.columns == ["doc_id", "extra", "token_ids"]
+    assert sorted((r["doc_id"], r["extra"], list(r["token_ids"])) for r in out.collect()) == made
