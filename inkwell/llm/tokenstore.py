@@ -193,6 +193,28 @@ def _zeros(crc: int, n: int) -> int:
     return _times(_BYTES_SHIFT[n], crc)
 
 
+#: What a zero-byte operator does to each value of each of the four bytes of a register.
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _table(k: int) -> np.ndarray:
+    if k not in _TABLES:
+        _TABLES[k] = np.array([[_times(_shift(k), v << (8 * byte)) for v in range(256)] for byte in range(4)], dtype=np.int64)
+    return _TABLES[k]
+
+
+def crcs_shifted(crcs: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Each CRC-32 run through its number of zero bytes."""
+    out, k = crcs.astype(np.int64), 0
+    while (left := zeros >> k).any():
+        on = np.flatnonzero(left & 1)
+        if len(on):
+            t, x = _table(k), out[on]
+            out[on] = t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+        k += 1
+    return out
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -433,23 +455,19 @@ def checksums(spark: SparkSession, path: str, key: str = "doc_id", width: int =
     streamed = parts.repartition("block", "place").sortWithinPartitions("block", "place", "pos")
 
     def whole(batches):
-        now, crc, size = None, 0, 0  # the document that the last batch ended in
+        rest = None  # the chunks of the document that the last batch ended in
         for batch in batches:
-            block, place, pos, keys, start, total, sizes, crcs = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for row in zip(block, place, pos, keys, start, total, sizes, crcs, strict=True):
-                if row[6] is None:
-                    raise ValueError("an object is lost")
-                if now is None or row[:2] != now[:2]:
-                    if now is not None:
-                        out.append(_ended(now, size, crc))
-                    crc, size = row[7], row[6]
-                else:
-                    crc, size = crc_append(crc, row[7], 4 * row[6]), size + row[6]
-                now = row
-            yield _sums(out, batch.column(3).type)
-        if now is not None:
-            yield _sums([_ended(now, size, crc)], batch.column(3).type)
+            # only the documents whose last chunk is surely there: those before the batch's last one
+            part = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            if not part:
+                continue
+            block, place = (np.asarray(part[0].column(i)) for i in (0, 1))
+            last = int(np.flatnonzero((block != block[-1]) | (place != place[-1]))[-1]) + 1 if block[0] != block[-1] or place[0] != place[-1] else 0
+            rest = part[0].slice(last)
+            if last:
+                yield _joined(part[0].slice(0, last))
+        if rest is not None:
+            yield _joined(rest)
 
     kind, name = _kind(links), _named(key)
     got = streamed.mapInArrow(whole, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", name)
@@ -457,15 +475,20 @@ def checksums(spark: SparkSession, path: str, key: str = "doc_id", width: int =
     return got.unionByName(none)
 
 
-def _ended(row: tuple, size: int, crc: int) -> tuple:
-    if size != row[5]:
+def _joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """``key, start, n_tokens, ids_crc32`` of the documents whose chunks are ``rows`` in order: block, place, pos, key, start, n_tokens, len, crc."""
+    if rows.column(6).null_count:
+        raise ValueError("an object is lost")
+    block, place, total, sizes, crcs = (np.asarray(rows.column(i)).astype(np.int64) for i in (0, 1, 5, 6, 7))
+    first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])]))
+    if (np.add.reduceat(sizes, first) != total[first]).any():
         raise ValueError("a document's chunks do not make its length")
-    return row[3], row[4], size, crc
-
-
-def _sums(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.int64(), pa.int64(), pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
+    # the sum of a document is the XOR of its chunks' sums, each run through the zero bytes that follow in place of the later chunks
+    ends = np.cumsum(sizes)
+    upto = np.repeat(ends[np.append(first[1:], len(sizes)) - 1], np.diff(np.append(first, len(sizes))))
+    whole = np.bitwise_xor.reduceat(crcs_shifted(crcs, 4 * (upto - ends)), first)
+    at = pa.array(first)
+    return pa.RecordBatch.from_arrays([rows.column(3).take(at), rows.column(4).take(at), pa.array(total[first]), pa.array(whole)], names=["key", "start", "n_tokens", "ids_crc32"])
 
 
 def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:

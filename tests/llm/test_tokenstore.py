@@ -167,3 +167,22 @@ def test_empty_table(spark, docs):
     path = ts.scratch_path(spark, "test-empty")
     ts.write(docs([]), path)
     assert ts.checksums(spark, path).count() == 0
+
+
+def test_sums_of_many_chunks_join_at_once():
+    """Documents' sums from their chunks' sums, by columns: no step for each chunk in Python."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows, want = [], []
+    for place in range(60):
+        chunks = [bytes(rng.randrange(256) for _ in range(4 * rng.choice([1, 64, 300, 1024]))) for _ in range(rng.choice([1, 2, 9]))]
+        n = sum(map(len, chunks)) // 4
+        rows += [(0, place, pos, place, 7, n, len(c) // 4, zlib.crc32(c)) for pos, c in enumerate(chunks)]
+        want.append((place, 7, n, zlib.crc32(b"".join(chunks))))
+    names = ["block", "place", "pos", "key", "start", "n_tokens", "len", "crc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    assert [tuple(r.values()) for r in ts._joined(batch).to_pylist()] == want
+    big = np.array([1 << 20, (1 << 22) + 4, 0])
+    assert ts.crcs_shifted(np.array([5, 0xFFFFFFFF, 9]), big).tolist() == [ts.crc_append(c, 0, int(n)) for c, n in zip((5, 0xFFFFFFFF, 9), big, strict=True)]
