@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
+from inkwell.functions.lets import explode
 from inkwell.operators import tokens, vocabulary
 
 CORE_SCALE = 1_000_000
@@ -13,7 +14,7 @@ CORE_SCALE = 1_000_000
 
 def expanded(terms: DataFrame) -> DataFrame:
     """``word, display, provenance, source`` from ``term, provenance, source``: the whole term and its parts."""
-    rows = terms.select("provenance", "source", F.explode(tx.expand_term(F.col("term"))).alias("word"))
+    rows = terms.select("provenance", "source", explode(tx.expand_term(F.col("term"))).alias("word")).where("word is not null")
     return rows.select("word", F.col("word").alias("display"), "provenance", "source")
 
 
@@ -32,8 +33,12 @@ def source_report(terms: DataFrame) -> DataFrame:
 
 def mined_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``word, count`` of prose words made of letters and apostrophes: no hyphens, two characters or more."""
-    words = tokens.prose_words(df.select(F.col(text).alias("text"))).select(F.explode("words").alias("word"))
-    return words.where(F.col("word").rlike("^[A-Za-z']*[A-Za-z][A-Za-z']*$")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    words = tokens.prose_words(df.select(F.col(text).alias("text"))).select(explode("words").alias("word"))
+    return minable(words).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+
+
+def minable(words: DataFrame) -> DataFrame:
+    return words.where(F.col("word").rlike("^[A-Za-z']*[A-Za-z][A-Za-z']*$"))
 
 
 def core_counts(ranked: DataFrame) -> DataFrame:

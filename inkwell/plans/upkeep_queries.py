@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import identity, maintain, spool, targets, tokens
+from inkwell.operators import identity, maintain, spool, targets, vocabulary
 from inkwell.plans import sql
-from inkwell.plans.lexicon_queries import dictionary
-from inkwell.plans.text_queries import WORDS, documents, read
+from inkwell.plans.lexicon_queries import vocabulary_of
+from inkwell.plans.text_queries import WORDS, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,7 +63,8 @@ def commit_identities(spark, sf_dir):
 )
 def target_status(spark, sf_dir):
     """A dictionary that is ours, one that was never written, and one in which our words are some of the user's."""
-    own, rows = dictionary(spark, sf_dir), tokens.words(documents(spark, sf_dir)).select("word").distinct()
+    words = vocabulary_of(spark, sf_dir)
+    own, rows = vocabulary.levelled(words), words.select("word")
     name = lambda df, n: df.select(F.lit(n).alias("name"), "word")
     return targets.statuses(name(own, "vscode").unionByName(name(rows, "macos")), name(own, "vscode").unionByName(name(own.where("level >= 55"), "macos")))
 
@@ -71,5 +72,5 @@ def target_status(spark, sf_dir):
 @query("own_vocabulary", f"WITH {WORDS}, {sql.dictionary()} SELECT word, count(*) AS count FROM words WHERE word NOT IN (SELECT word FROM dict WHERE level >= 55) GROUP BY word")
 def own_vocabulary(spark, sf_dir):
     """Word counts without names; the rarer dictionary words stand for names."""
-    counts = tokens.words(documents(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    return maintain.counts_without_names(counts, dictionary(spark, sf_dir).where("level >= 55"))
+    words = vocabulary_of(spark, sf_dir)
+    return maintain.counts_without_names(words.select("word", F.col("n").alias("count")), vocabulary.levelled(words).where("level >= 55"))

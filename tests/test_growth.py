@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions.distance import osa_many
-from inkwell.operators import phrases, suggest, tokens
+from inkwell.operators import phrases, realword, suggest, tokens
+from inkwell.plans import catalogue
 
 
 def plan(df):
@@ -58,3 +59,19 @@ def test_gate_reads_its_runs_once(spark, stored):
     first = 1 if stored is None else 2
     assert got == {("a b c", "r"): first, ("a b d", "s"): 1, ("x y z", "s"): 2, ("y z x", "s"): 1}
     assert seen.value == 4
+
+
+def test_repeated_places_take_the_best_context(spark):
+    """Texts of one id share places; as in the SQL, each context counts by itself."""
+    rows = spark.createDataFrame([(1, "then", "a", "b"), (1, "then", "c", None)], "k long, word string, prev string, next string")
+    grams = spark.createDataFrame([("a than", 3), ("than b", 1), ("c than", 5), ("a then", 2)], "gram string, count long")
+    got = [tuple(r) for r in realword.evidence(rows, grams, ["k"]).collect()]
+    assert got == [(1, "then", "than", 2, 5)]
+
+
+@pytest.mark.parametrize("name", "lexicon_validity export_words export_strongest known_words shadow_words split_compounds suggest_candidates_d1 contractions_derived frequency_merge target_status own_vocabulary join_compounds realword_findings derive_cues status_maps prune_grams".split())
+def test_texts_are_cut_once(spark, monkeypatch, name):
+    calls, cut = [], tokens.prose_words
+    monkeypatch.setattr(tokens, "prose_words", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
