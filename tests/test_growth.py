@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions.distance import osa_many
-from inkwell.operators import phrases, realword, suggest, tokens
+from inkwell.operators import findings, known, phrases, realword, suggest, tokens
 from inkwell.plans import catalogue
 
 
@@ -75,3 +75,19 @@ def test_texts_are_cut_once(spark, monkeypatch, name):
     monkeypatch.setattr(tokens, "prose_words", lambda *a, **k: calls.append(1) or cut(*a, **k))
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_findings_read_their_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    texts = [(1, "We saw teh plan and dont mind.\n\n> Zorblat\nThen zorblat came with Anna Smih here."), (2, "")]
+    docs = spark.createDataFrame(texts, "k long, text string").select(F.udf(counted, "long")("k").alias("doc_id"), "text")
+    words = [(w, 20) for w in "we saw the plan and mind then came with here".split()]
+    d = known.tables(spark, dictionary=spark.createDataFrame(words, "word string, level int"), people=spark.createDataFrame([("anna smith", 4, "Anna Smith")], "name string, days long, display string"))
+    got = {(r.line, r.col, r.word, r.suggestions[0].word) for r in findings.findings(docs, d).collect()}
+    assert got == {(1, 8, "teh", "the"), (1, 21, "dont", "don't"), (4, 24, "Anna Smih", "Anna Smith")}
+    assert seen.value == 2
