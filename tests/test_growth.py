@@ -91,3 +91,11 @@ def test_findings_read_their_texts_once(spark):
     got = {(r.line, r.col, r.word, r.suggestions[0].word) for r in findings.findings(docs, d).collect()}
     assert got == {(1, 8, "teh", "the"), (1, 21, "dont", "don't"), (4, 24, "Anna Smih", "Anna Smith")}
     assert seen.value == 2
+
+
+def test_suggestions_broadcast_no_vocabulary(spark):
+    asked = spark.createDataFrame([("abcd", False), ("abef", False)], "word string, want_name boolean")
+    d = known.tables(spark, dictionary=spark.createDataFrame([("abc", 10), ("ab", 10), ("ef", 20)], "word string, level int"))
+    out = suggest.suggestions(asked, d)
+    assert "BroadcastExchange" not in plan(out) and "BroadcastExchange" not in plan(suggest.ranked(asked, d)) and "BroadcastExchange" not in plan(suggest.candidates(d))
+    assert {r.word: [s.word for s in r.suggestions] for r in out.collect()} == {"abcd": ["abc", "ab"], "abef": ["ab ef", "ab", "abc"]}
